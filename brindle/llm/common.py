@@ -42,6 +42,7 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind this step, which nothing reads any more
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,19 @@
 """The queries of this package, by the names under which they are registered."""
 
-from . import packing
+from . import fingerprints, line_dedup, near_dup, neighbours, packing, quality, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_neighbours": neighbours.op1_neighbours,
+    "op2_quality": quality.op2_quality,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
+    "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_near_duplicates": near_dup.op8_near_duplicates,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_fingerprints": fingerprints.op10_fingerprints,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": warc.oracle(),
+}
