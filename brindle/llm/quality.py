@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: AdditiveModel, text: str = "text", out: str =
             x = np.array([features(t.as_py() or "") for t in texts], dtype=float).reshape(b.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x))], names=[*names, out])
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields).add(out, T.DoubleType()))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add(out, T.DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:

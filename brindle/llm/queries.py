@@ -1,6 +1,6 @@
 """The queries of this package, by the names under which they are registered."""
 
-from . import fingerprints, line_dedup, near_dup, neighbours, packing, quality, suffix_dedup, toxicity, warc
+from . import fingerprints, line_dedup, near_dup, neighbours, packing, quality, sentencepieces, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_neighbours": neighbours.op1_neighbours,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
+    "op6_sentencepiece": sentencepieces.op6_sentencepiece,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_near_duplicates": near_dup.op8_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,

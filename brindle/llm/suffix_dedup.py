@@ -7,7 +7,9 @@ over longer and longer content, as in prefix doubling, and what is unique drops
 1. the gram at the anchor (a first rank): anchors whose gram occurs once are done;
 2. the gram with everything that the anchor's strings cover (from the first start to the last end): anchors whose context
    occurs again are repeated as a whole, and one of each class goes on, if its gram has other contexts too;
-3. every single string of what is left, by a 128-bit hash.
+3. blocks of neighbouring strings, by the core that all of a block's strings share: blocks whose core is unique drop out, and
+   blocks with equal cores and equal sides are repeated as a whole;
+4. every single string of the blocks that are left, by 128 bits of hashes of its core and what it has beside the core.
 """
 
 import hashlib
@@ -22,6 +24,7 @@ from . import common
 from .near_dup import BYTE, mix
 
 PART = 1 << 20
+BLOCK = 16
 MASK = np.uint64((1 << 21) - 1)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
 TABLES = (BYTE, mix(np.arange(256, dtype=np.uint64), 2))
@@ -55,8 +58,9 @@ class Rolling:
             return mix((self.total[last] - self.total[first]) * self.down[first])
 
     def all(self, n: int) -> np.ndarray:
+        """Of every substring of n bytes, not mixed: the high bits are those to compare."""
         with np.errstate(over="ignore"):
-            return mix((self.total[n:] - self.total[:-n]) * self.down[: len(self.total) - n])
+            return (self.total[n:] - self.total[:-n]) * self.down[: len(self.total) - n]
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
@@ -70,7 +74,7 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(raw: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each anchor: its gram's hash, its context's hash, and the first and last start of the strings that name it."""
+    """Of each anchor: its gram's hash, its context's hash, its place, and the first and last start of the strings that name it."""
     parts = []
     for at in range(0, max(len(raw) - span + 1, 0), PART):
         piece = raw[at : at + PART + span - 1]
@@ -83,10 +87,9 @@ def anchors_of(raw: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
         place = named[first]
         with np.errstate(over="ignore"):
             context = mix(two.of(first, last + span) + mix(((place - first) * 4096 + (place - last)).astype(np.uint64), 3))
-        parts.append((grams[place].astype(np.int64), context.astype(np.int64), first + at, last + at))
+        parts.append((mix(grams[place]).astype(np.int64), context.astype(np.int64), place + at, first + at, last + at))
     if not parts:
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none
+        return (np.zeros(0, dtype=np.int64),) * 5
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
@@ -96,7 +99,7 @@ def _keyed(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), text.cast("binary").alias("raw"), *more)
 
 
-ANCHORS = "did long, th int, gram long, context long, first int, last int"
+ANCHORS = "did long, th int, gram long, context long, place int, first int, last int"
 
 
 def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
@@ -104,52 +107,84 @@ def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
         for b in batches:
             found = [anchors_of(np.frombuffer(t.as_py(), dtype=np.uint8), span, gram) for t in b.column(2)]
             n = [len(x[0]) for x in found]
-            cols = [np.repeat(b.column(k).to_numpy(), n) for k in (0, 1)] + [np.concatenate([x[k] for x in found] or [np.zeros(0, dtype=np.int64)]) for k in range(4)]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=["did", "th", "gram", "context", "first", "last"])
+            cols = [np.repeat(b.column(k).to_numpy(), n) for k in (0, 1)] + [np.concatenate([x[k] for x in found] or [np.zeros(0, dtype=np.int64)]) for k in range(5)]
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=["did", "th", "gram", "context", "place", "first", "last"])
 
     return _keyed(docs).mapInArrow(run, ANCHORS)
 
 
-def strings(listed: DataFrame, span: int) -> DataFrame:
-    """Two hashes of every string of `span` bytes that starts within a text's listed ranges."""
+def blocks(listed: DataFrame, span: int) -> DataFrame:
+    """Blocks of up to BLOCK neighbouring strings of the listed anchors, cut at fixed distances before the anchor.
+
+    All strings of a block share its core, of which two hashes are given. String i of a block is the last i bytes before the core
+    (of `before`), the core, and the first BLOCK - 1 - i bytes behind it (of `behind`); those from lo to hi belong to the anchor,
+    and string i starts at `at` - i.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = BLOCK - 1
+        around = np.arange(wide)
         for b in batches:
             for did, th, raw, ranges in zip(b.column("did").to_pylist(), b.column("th").to_pylist(), b.column("raw"), b.column("ranges"), strict=True):
                 whole = np.frombuffer(raw.as_py(), dtype=np.uint8)
-                bounds = sorted((r["first"], r["last"], r["alone"]) for r in ranges.as_py())
-                for at in range(0, len(bounds), 4096):
-                    some = bounds[at : at + 4096]
-                    starts = np.concatenate([np.arange(a, z + 1) for a, z, _ in some])
-                    alone = np.repeat([x for _, _, x in some], [z - a + 1 for a, z, _ in some])
-                    h1, h2 = np.empty(len(starts), dtype=np.uint64), np.empty(len(starts), dtype=np.uint64)
-                    for lo in np.unique(starts // PART):
-                        mine = starts // PART == lo
-                        piece, local = whole[lo * PART : (lo + 1) * PART + span], starts[mine] - lo * PART
-                        h1[mine], h2[mine] = Rolling(piece, 0).of(local, local + span), Rolling(piece, 1).of(local, local + span)
-                    n = len(starts)
-                    cols = [np.full(n, did, dtype=np.int64), np.full(n, th, dtype=np.int32), h1.astype(np.int64), h2.astype(np.int64), starts.astype(np.int32), alone]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["did", "th", "h1", "h2", "at", "alone"])
-
-    return listed.select("did", "th", "raw", "ranges").mapInArrow(run, "did long, th int, h1 long, h2 long, at int, alone boolean")
+                padded = np.concatenate((np.zeros(wide, dtype=np.uint8), whole, np.zeros(wide, dtype=np.uint8)))
+                fields = ranges.values if hasattr(ranges, "values") else pa.array([])
+                place, first, last = (fields.field(k).to_numpy().astype(np.int64) for k in ("place", "first", "last"))
+                alone = fields.field("alone").to_numpy(zero_copy_only=False)
+                low, high = (place - last) // BLOCK, (place - first) // BLOCK
+                n = high - low + 1
+                which = np.repeat(np.arange(len(place)), n)
+                k = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                at = place[which] - BLOCK * k
+                lo, hi = np.maximum(at - last[which], 0), np.minimum(at - first[which], wide)
+                end = at - wide + span
+                h1, h2 = np.empty(len(at), dtype=np.uint64), np.empty(len(at), dtype=np.uint64)
+                for part in np.unique(at // PART):
+                    mine = at // PART == part
+                    piece, shift = whole[part * PART : (part + 1) * PART + span], part * PART
+                    h1[mine], h2[mine] = Rolling(piece, 0).of(at[mine] - shift, end[mine] - shift), Rolling(piece, 1).of(at[mine] - shift, end[mine] - shift)
+                with np.errstate(over="ignore"):
+                    h1, h2 = mix(h1 + k.astype(np.uint64)), mix(h2 ^ k.astype(np.uint64))
+                before, behind = (pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(at), [None, pa.py_buffer(padded[x[:, None] + around].tobytes())]).cast(pa.binary()) for x in (at, end + wide))
+                cols = [pa.array(np.full(len(at), did, dtype=np.int64)), pa.array(np.full(len(at), th, dtype=np.int32)), *(pa.array(x.astype(np.int64)) for x in (h1, h2)), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi)), before, behind, pa.array(alone[which])]
+                yield pa.RecordBatch.from_arrays(cols, names=["did", "th", "h1", "h2", "at", "lo", "hi", "before", "behind", "alone"])
+
+    return listed.select("did", "th", "raw", "ranges").mapInArrow(run, "did long, th int, h1 long, h2 long, at int, lo int, hi int, before binary, behind binary, alone boolean")
 
 
 def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
     """did, th, ranges: of each document with repeated strings, an array of (first start, last start) of those, unordered."""
-    found = anchors(docs, span, gram)
+    found = common.stored(anchors(docs, span, gram), "anchors")
     ranks = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
     again = common.stored(found.join(ranks.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "gram"), "ranks")
     ranges = ["did", "th", "first", "last"]
     pure = again.where("pure").select(*ranges)
     rest = again.where("NOT pure")
-    classes = common.stored(rest.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ranges)).alias("one")), "contexts")
+    classes = common.stored(rest.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ranges, "place")).alias("one")), "contexts")
     whole = rest.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(*ranges)
-    per_text = classes.groupBy("one.did", "one.th").agg(F.collect_list(F.struct("one.first", "one.last", (F.col("n") == 1).alias("alone"))).alias("ranges"))
-    each = common.stored(strings(_keyed(docs).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span), "strings")
-    twice = each.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    single = each.where("alone").join(twice, ["h1", "h2"]).select("did", "th", F.col("at").alias("first"), F.col("at").alias("last"))
-    return pure.unionByName(whole).unionByName(single).groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    per_text = classes.groupBy("one.did", "one.th").agg(F.collect_list(F.struct("one.place", "one.first", "one.last", (F.col("n") == 1).alias("alone"))).alias("ranges"))
+    each = common.stored(blocks(_keyed(docs).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
+    # a block whose core is unique has no repeated string; one whose core and sides occur again has only such
+    cores = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("sides").alias("a"), F.max("sides").alias("z")).where("n > 1").select("h1", "h2", (F.col("a") == F.col("z")).alias("same"))
+    shared = common.stored(each.join(cores, ["h1", "h2"]), "shared")
+    starts = lambda d: d.select("did", "th", (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last"))
+    mixed = shared.where("NOT same")
+    kinds = common.stored(mixed.groupBy("h1", "h2", "sides").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "at", "lo", "hi", "before", "behind", "alone")).alias("one")), "sides")
+    equal = mixed.where("alone").join(kinds.where("n > 1").select("h1", "h2", "sides"), ["h1", "h2", "sides"])
+    single = kinds.select("h1", "h2", "one.*", "n").select("*", F.explode(F.sequence("lo", "hi")).alias("i"))
+    left, right = F.substring("before", BLOCK - F.col("i"), F.col("i")), F.substring("behind", F.lit(1), BLOCK - 1 - F.col("i"))
+    single = single.select("did", "th", (F.col("at") - F.col("i")).alias("first"), (F.col("alone") & (F.col("n") == 1)).alias("alone"), F.xxhash64("h1", "i", left, right).alias("w1"), F.xxhash64("h2", right, left, "i").alias("w2"))
+    twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    last = single.where("alone").join(twice, ["w1", "w2"]).select("did", "th", "first", F.col("first").alias("last"))
+    every = pure.unionByName(whole).unionByName(starts(shared.where("same AND alone"))).unionByName(starts(equal)).unionByName(last)
+    return every.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+
+
+def _sides() -> F.Column:
+    """A hash of what a block's own strings have beside the core."""
+    left, right = F.substring("before", BLOCK - F.col("hi"), F.col("hi")), F.substring("behind", F.lit(1), BLOCK - 1 - F.col("lo"))
+    return F.xxhash64("lo", "hi", left, right)
 
 
 def spans_of(ranges: list[dict] | None, span: int) -> list[tuple[int, int]]:
@@ -213,3 +248,36 @@ def brute_force(texts: list[bytes], span: int) -> list[tuple[int, int, str]]:
         kept = np.frombuffer(t, dtype=np.uint8)[cut].tobytes()
         out.append((len(t) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def cut_texts(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
+    """docs with the repeated byte strings cut out of `text`, and n_chars, if there is one, made anew.
+
+    A character that loses some of its bytes goes as a whole. A document that loses all its text goes; other rows, null and
+    empty texts among them, stay as they are, with all their columns.
+    """
+    names = docs.columns
+    if taken := {"did", "th", "raw", "ranges", "_kept"} & set(names):
+        raise ValueError(f"columns {sorted(taken)} are there already")
+    marked = _keyed(docs, *names).join(repeated_ranges(docs, span, gram), ["did", "th"], "left").select("raw", "ranges", *names)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, keep = [], []
+            for raw, ranges, text in zip(b.column("raw"), b.column("ranges"), b.column("text"), strict=True):
+                gone = spans_of(ranges.as_py(), span)
+                if gone:
+                    t, ends = raw.as_py(), [0, *(z for _, z in gone)]
+                    text = b"".join(t[a:z] for a, z in zip(ends, [*(a for a, _ in gone), len(t)], strict=True)).decode("utf-8", "ignore")
+                    keep.append(bool(text.strip()))
+                    texts.append(text)
+                else:
+                    keep.append(True)
+                    texts.append(text.as_py())
+            cols = [b.column(n) for n in names]
+            cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(keep, pa.bool_()))
+
+    out = marked.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

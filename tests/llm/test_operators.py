@@ -1,0 +1,233 @@
+"""The corpus operators against brute force, exact round trips and held-out accuracy, and on odd tables."""
+
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import common, fingerprints, line_dedup, near_dup, neighbours, packing, quality, sentencepieces, suffix_dedup, toxicity, warc
+
+P = pytest.importorskip("public_tokenizers")
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, "en", "s", len(t) if t else 0) for i, t in rows], DOC)
+
+
+def prose(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and blank texts, repeated rows, a shared passage, near copies, a long run, and a long text."""
+    rng = random.Random(3)
+    base, passage = prose(rng, 120), prose(rng, 80)
+    words = base.split()
+    near = " ".join(["x"] + words[1:])
+    rows = [(None, base), (1, None), (2, ""), (3, "  \n "), (4, base), (4, base), (5, near), (6, prose(rng, 30) + passage + prose(rng, 30)), (7, passage + "é" + prose(rng, 9)), (8, "a" * 700), (9, prose(rng, 4000)), (10, "one"), (11, "One\n"), (12, prose(rng, 50) + "\n" + base)]
+    return frame(spark, rows), rows
+
+
+def test_suffix_dedup_equals_brute_force(spark, odd):
+    docs, rows = odd
+    got = suffix_dedup.deduplicate(docs).select("doc_id", "n_bytes", F.expr("aggregate(spans, 0L, (n, s) -> n + s.`end` - s.first)").alias("removed"), F.size("spans").alias("k"), F.sha2("kept", 256).alias("h")).collect()
+    want = [(i, len((t or "").encode()), *b) for (i, t), b in zip(rows, suffix_dedup.brute_force([(t or "").encode() for _, t in rows], 200), strict=True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_suffix_cut_keeps_columns_and_valid_text(spark, odd):
+    out = suffix_dedup.cut_texts(odd[0])
+    assert out.columns == odd[0].columns
+    for r in out.collect():
+        assert r.text is None or r.n_chars == len(r.text)
+
+
+def shingled(text, k):
+    w = (text or "").encode().translate(near_dup.LOWER).split()
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+@pytest.mark.parametrize("k", [2, 5])
+def test_near_duplicates_equal_brute_force(spark, odd, k):
+    docs, rows = odd
+    sets = [(i, shingled(t, k)) for i, t in rows if i is not None]
+    root = {i: i for i, _ in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in sets:
+        for j, b in sets:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    for r in near_dup.near_duplicates(docs, words=k).collect():
+        if r.doc_id is None:
+            assert r.kept and r.component_id is None
+        else:
+            assert r.component_id == find(r.doc_id) and r.kept == (r.doc_id == r.component_id)
+            assert r.n_shingles == len(dict(sets)[r.doc_id])
+
+
+def test_packing_places_every_piece_once(spark, odd):
+    path = P.path("word_bpe_49k.json")
+    got = packing.pack(odd[0], path, capacity=64).toPandas()
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    want = Counter()
+    for i, t in odd[1]:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 64)):
+            import zlib
+
+            part = np.array(ids[at : at + 64], dtype="<u4")
+            want[(-1 if i is None else i, k, at, len(part), zlib.crc32(part.tobytes()))] += 1
+    assert Counter(zip(got.doc_id.fillna(-1).astype(int), got.piece, got.start, got.length, got.ids_crc32, strict=True)) == want
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 64 and (s.offset == s.length.cumsum() - s.length).all()
+    assert got.sequence_id.nunique() <= -(-got.length.sum() // 64) + 1
+
+
+def test_word_bpe_equals_the_library():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from brindle.llm.tokens import WordBpe
+
+    path = P.path("word_bpe_49k.json")
+    texts = ["", " ", "it's <|endoftext|> x", "ÀÉ ß İstanbul ΣΑΣ 中文", "don't I'LL we're'''s 123 a\x85b ﬁ ½", "é tab\there\nnew", "Hello, WORLD!! $$$ 3.14"] * 2
+    tok, own = Tokenizer.from_file(path), WordBpe(path)
+    for i, ids in own.batches(pa.array(texts)):
+        assert ids.tolist() == tok.encode(texts[i], add_special_tokens=False).ids
+
+
+def test_completion_reaches_the_bound():
+    plan = packing.Completion({1200: 5, 848: 5, 2048: 2, 1000: 4, 24: 4, 1024: 4}, 2048).solve()
+    assert sum(n for _, n in plan) == 11
+    assert all(sum(k * v for k, v in f.items()) <= 2048 for f, _ in plan)
+
+
+def test_sentencepieces_equal_the_library(spark, odd):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [*odd[1], (20, "Hello  world\n foo é 中文 \U0001f600 "), (21, " lead"), (22, "the the the of of")]
+    docs = frame(spark, rows)
+    got = sentencepieces.encode(docs, path).collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded) for r in got) == Counter((i, tuple(sp.encode(t or "")), t or "") for i, t in rows)
+
+
+def test_warc_round_trip_with_magic_in_payloads(spark):
+    inner = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    long = "x" * 150
+    rows = [(1, "u1", "a" + inner * 3), (2, "u2", long), (3, "u3", long), (4, "u4", None), (5, "u5", ""), (6, "u6", inner), (7, None, "é" * 60), (8, "u8", "é" * 60), (9, "u9", inner + "tail")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = common.new_path(spark, "test")
+    warc.write_archive(pages, path, records_a_file=4)
+    got = {warc_id(r.record_id): r for r in warc.read_archive(spark, path).collect()}
+    assert sorted(got) == list(range(1, 10))
+    for i, _, html in rows:
+        body = (html or "").encode()
+        twin = {3: 2, 8: 7}.get(i)
+        assert got[i].record_type == ("revisit" if twin else "response")
+        assert got[i].digest == hashlib.sha256(body).hexdigest()
+        assert bytes(got[i].payload) == (b"" if twin else body)
+        assert warc_id(got[i].refers_to) == twin
+
+
+def warc_id(urn):
+    return int(urn.rsplit(":", 1)[1].rstrip(">")) if urn else None
+
+
+def test_neighbours_find_what_brute_force_finds(spark):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(400, 16)).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(1000 + i, vecs[0].tolist()) for i in range(9)]
+    bad = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [float("inf")] + [1.0] * 15), (2004, [None] + [1.0] * 15), (2005, [1.0, 2.0]), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0, cell_rows=64).collect()
+    x = {i: np.float32(v).astype(float) for i, v in rows}
+    hit = total = 0
+    for q in (i for i in x if i % 50 == 0):
+        best = sorted((-(x[q] @ v) / np.sqrt(x[q] @ x[q]) / np.sqrt(v @ v), i) for i, v in x.items() if i != q)
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+        assert [r for r, _, _ in mine] == [1, 2, 3, 4, 5]
+        hit += len({i for _, i, _ in mine} & {i for _, i in best[:5]})
+        total += 5
+        assert all(abs(s + next(b for b, j in best if j == i)) < 1e-12 for _, i, s in mine)
+    assert hit / total >= 0.9
+    assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [1000, 1001, 1002, 1003, 1004]
+    assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
+
+
+def test_fingerprints(spark):
+    texts = ["É  café\n x", "é CAFÉ x ", "é café x", "other", None, "", "ﬁn ＡＢ", "fin ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    f = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    assert f[0] == f[1] == f[2] and f[4] == f[5] and f[6] == f[7] and len(set(f.values())) == 4
+    nxt = {(r.doc_id, r.text): r.next for r in fingerprints.with_next(docs, rows_a_range=2).collect()}
+    full = [t or "" for t in texts]
+    assert nxt == {(i, full[i]): full[i - 1] for i in range(len(full))}
+
+
+def test_line_dedup(spark):
+    rng = random.Random(9)
+    a, b = prose(rng, 30), prose(rng, 30)
+    almost = a.split()
+    almost[4] = "changed"
+    rows = [(1, f"{a}\nshort\n{b}"), (2, f"short\n{' '.join(almost)}"), (3, f"  {b.upper()}  "), (4, None), (5, ""), (6, prose(rng, 30))]
+    got = {r.doc_id: r for r in line_dedup.deduplicate(frame(spark, rows)).collect()}
+    assert got[1].text == rows[0][1] and got[1].n_removed == 0
+    assert got[2].text == "short" and got[2].n_removed == 1 and got[2].n_chars == 5
+    assert got[3].text == "" and got[4].text is None and got[5].text == "" and got[6].text == rows[5][1]
+
+
+def test_classifiers_on_held_out_rows(spark):
+    for got, label, least in ((quality.op2_quality(spark, SF), "quality", 0.9), (toxicity.op9_toxicity(spark, SF), "toxic", 0.75)):
+        pdf = got.toPandas().merge(common.table(spark, SF, "labels").toPandas(), on="doc_id")
+        held = pdf[pdf.held_out]
+        assert len(held) and pdf.score.between(0, 1).all() and (pdf.predicted == (pdf.score >= 0.3)).all()
+        assert (held.predicted == held[label]).mean() >= least
+
+
+def test_classifiers_without_labels_or_rows(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for fn in (quality.classify, toxicity.classify):
+        assert {round(r.score, 9) for r in fn(odd[0], none).collect()} == {0.5}
+        assert fn(odd[0].limit(0), none).count() == 0
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], DOC)
+    assert suffix_dedup.cut_texts(docs).count() == 0
+    assert near_dup.keep_one(docs).count() == 0
+    assert line_dedup.deduplicate(docs).count() == 0
+    assert packing.pack(docs, P.path("word_bpe_49k.json")).count() == 0
+    assert fingerprints.with_next(docs).count() == 0
+
+
+def test_machine_learns_an_interaction():
+    rng = np.random.default_rng(0)
+    rows = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
+    y = np.array([float(0 in r and 1 in r) for r in rows])
+    fm = toxicity.FactorizationMachine(epochs=30).fit(rows, y, np.arange(6))
+    s = fm.scores(rows)
+    assert s[y == 1].min() > s[y == 0].max()
+
+
+def test_additive_model_learns_a_pair():
+    rng = np.random.default_rng(0)
+    x = rng.random((3000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    m = quality.AdditiveModel(rounds=30, pair_rounds=60).fit(x, y)
+    assert ((m.scores(x) > 0.5) == (y == 1)).mean() > 0.9
