@@ -157,7 +157,9 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFra
     """did, th, ranges: of each document with repeated strings, an array of (first start, last start) of those, unordered."""
     found = common.stored(anchors(docs, span, gram), "anchors")
     ranks = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    again = common.stored(found.join(ranks.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "gram"), "ranks")
+    # what a hot key joins with is written first: a join of two plain shuffles is one that adaptive execution splits
+    ranks = common.stored(ranks.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "grams")
+    again = common.stored(found.join(ranks, "gram"), "ranks")
     ranges = ["did", "th", "first", "last"]
     pure = again.where("pure").select(*ranges)
     rest = again.where("NOT pure")
@@ -167,6 +169,7 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFra
     each = common.stored(blocks(_keyed(docs).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
     # a block whose core is unique has no repeated string; one whose core and sides occur again has only such
     cores = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("sides").alias("a"), F.max("sides").alias("z")).where("n > 1").select("h1", "h2", (F.col("a") == F.col("z")).alias("same"))
+    cores = common.stored(cores, "cores")
     shared = common.stored(each.join(cores, ["h1", "h2"]), "shared")
     starts = lambda d: d.select("did", "th", (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last"))
     mixed = shared.where("NOT same")
