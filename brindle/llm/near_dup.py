@@ -142,6 +142,63 @@ def similar(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
+def crossing(here: DataFrame, keyed: DataFrame, sets: DataFrame, percent: int, block: int = 256, hashes: int = 500_000) -> DataFrame:
+    """a, b of the similar pairs that share a bucket and are in different components, by comparing all of them.
+
+    here has band, key, doc_id, n and component of whole buckets; keyed has doc_id and all band keys; sets has doc_id and set. A
+    bucket's commonest component is its main one, and is only compared with the rest. Both are dealt at random into blocks
+    of about `block` members and `hashes` shingles. Two blocks meet in one task, which multiplies their 0/1 matrices, so that
+    only similar pairs become rows. A pair counts in the first band that it shares.
+    """
+    parts = here.groupBy("band", "key", "component").agg(F.count("*").alias("m"), F.sum("n").alias("size"))
+    blocks = lambda m, size: F.greatest(F.ceil(m / block), F.ceil(size / hashes), F.lit(1)).cast("int")
+    mains = parts.groupBy("band", "key").agg(F.max(F.struct("m", "size", "component")).alias("main"), F.sum("m").alias("m"), F.sum("size").alias("size"), F.count("*").alias("parts")).where("parts > 1")
+    mains = mains.select("band", "key", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.size")).alias("n_main"), blocks(F.col("m") - F.col("main.m"), F.col("size") - F.col("main.size")).alias("n_rest"))
+    dealt = here.join(common.stored(mains, "mains"), ["band", "key"]).withColumn("is_main", F.col("component") == F.col("main"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_rest"))).cast("int"))
+    # the blocks of the rest are 0 to n_rest - 1, and those of the main component follow
+    each = lambda lo, hi: F.sequence(F.lit(lo) if isinstance(lo, int) else lo, hi - 1)
+    with_main = F.transform(each(0, F.col("n_rest")), lambda i: F.struct(i.alias("i"), (F.col("n_rest") + F.col("own")).alias("j")))
+    with_rest = F.transform(each(0, F.col("n_rest") + F.col("n_main")), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    placed = dealt.withColumn("ij", F.explode(F.when(F.col("is_main"), with_main).otherwise(with_rest)))
+    placed = placed.select("band", "key", "ij.i", "ij.j", F.when(F.col("is_main"), F.col("n_rest") + F.col("own")).otherwise(F.col("own")).alias("own"), "doc_id", "component")
+    rows = placed.join(keyed.join(sets, "doc_id"), "doc_id")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        band, i, j = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        own = t.column("own").to_numpy()
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        ids, comp = t.column("doc_id").to_numpy(), t.column("component").to_numpy()
+        keys = np.array(t.column("keys").to_pylist(), dtype=np.int64).reshape(len(ids), -1)
+        packed = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in t.column("set")]
+        size = np.array([len(x) for x in packed])
+        fresh = comp[left][:, None] != comp[right][None, :]
+        if i == j:
+            fresh &= ids[left][:, None] < ids[right][None, :]
+        for k in range(band):
+            fresh &= keys[left, k][:, None] != keys[right, k][None, :]
+        both = np.zeros(fresh.shape, dtype=np.int64)
+        if fresh.any():
+            _, at, times = np.unique(np.concatenate(packed), return_inverse=True, return_counts=True)
+            who = np.repeat(np.arange(len(ids)), size)
+            rank = np.cumsum(times > 1) - 1  # hashes of one document alone meet nothing
+            common_ = times[at] > 1
+            who, at = who[common_], rank[at[common_]]
+            order = np.argsort(at, kind="stable")
+            who, at = who[order], at[order]
+            n = int(at[-1]) + 1 if len(at) else 0
+            for lo in range(0, n, 8192):
+                a, b = np.searchsorted(at, (lo, lo + 8192))
+                m = np.zeros((len(ids), min(8192, n - lo)), dtype=np.float32)
+                m[who[a:b], at[a:b] - lo] = 1
+                both += (m[left] @ m[right].T).astype(np.int64)
+        x, y = np.nonzero(fresh & (both > 0) & (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)))
+        p, q = ids[left[x]], ids[right[y]]
+        return pa.table({"a": np.minimum(p, q), "b": np.maximum(p, q)})
+
+    return rows.groupBy("band", "key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs.
 
@@ -149,8 +206,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     two of them miss all 32 bands of 4 with a chance of 5 in 100 million. A bucket's edges are a star around one member, so a
     bucket of m members has m - 1. An edge is confirmed on full sets. As two similar members may meet only around a third
     that is like neither, further rounds take, of the buckets whose members are still in different components, another
-    centre by a new random order, until a round finds no new link or `rounds` have been made; small buckets (up to 24 members)
-    then compare every remaining pair across components, which is at most 23 edges a member.
+    centre by a new random order, in `rounds` rounds; small buckets (up to 24 members) then compare every remaining pair across
+    components, which is at most 23 edges a member, and at last larger ones do so in blocks. No pair that shares a bucket
+    stays untested, unless others link its ends.
 
     Null or empty texts have the set size 0 and their own doc_id as component. A null doc_id has a null component and is
     kept. Repeated ids are one document in links; each row is returned, and the first by set digest stands for the id.
@@ -187,11 +245,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
         new = common.stored(similar(pairs, percent), "links")
         if r and new.isEmpty():
-            if r < rounds:
-                continue
-            break
+            continue
         links = new if links is None else links.unionByName(new)
         comp = common.stored(components(links, buckets.select("doc_id").distinct()), "components")
+    here = buckets.where("m > 24").select("band", "key", "doc_id", "n").join(comp, "doc_id")
+    mixed = here.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
+    here = common.stored(here.join(common.stored(mixed, "mixed"), ["band", "key"]), "mixed")
+    if not here.isEmpty():
+        keyed = members.where("keys IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "keys").join(here.select("doc_id").distinct(), "doc_id", "left_semi")
+        new = common.stored(crossing(here, keyed, sets, percent), "links")
+        if not new.isEmpty():
+            comp = common.stored(components(links.unionByName(new), buckets.select("doc_id").distinct()), "components")
     every = made.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     rep_of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = rep_of.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("component_id"))

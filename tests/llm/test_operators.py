@@ -76,6 +76,29 @@ def test_near_duplicates_equal_brute_force(spark, odd, k):
             assert r.n_shingles == len(dict(sets)[r.doc_id])
 
 
+def test_near_duplicates_compare_large_mixed_buckets(spark):
+    """Variants of one text, most of them just under the threshold to each other: few pairs are links, and every bucket is large."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(700):
+        words = list(base)
+        for j in rng.sample(range(120), rng.randint(8, 10)):
+            words[j] = f"v{i}x{j}"
+        rows.append((i, " ".join(words)))
+    x = np.array([[w.startswith("w") for w in t.split()] for _, t in rows], dtype=np.int64)
+    both = x @ x.T
+    near = 100 * both >= 80 * (240 - both)
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in np.flatnonzero(near[i, :i]):
+            a, b = root[i], root[j]
+            if a != b:
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 100 < len(set(root)) < 650
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame(spark, rows), words=1).collect()} == dict(enumerate(root))
+
+
 def test_packing_places_every_piece_once(spark, odd):
     path = P.path("word_bpe_49k.json")
     got = packing.pack(odd[0], path, capacity=64).toPandas()
