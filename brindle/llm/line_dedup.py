@@ -1,5 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only."""
 
+import random
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,34 +21,42 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     return lines.select("did", "th", "pos", F.lower(F.trim("line")).alias("norm")).where(F.length("norm") >= least_chars).withColumn("lid", F.xxhash64("norm"))
 
 
-def band_keys(norm: Column, width: int) -> Column:
-    """Eight band keys of a line. Character shingles of `width` that begin at words are hashed and sorted; the hash range is cut into 32 bins, of which each gives its least (one-permutation MinHash), and a band is four bins. A band without a shingle has no key."""
-    hashed = F.sort_array(F.transform(F.regexp_extract_all(norm, F.lit(f"(?:^|(?<= ))(?=(.{{1,{width}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
-    least = F.transform(F.array(hashed), lambda h: F.filter(h, lambda x, i: (i == 0) | (F.shiftright(x, 59) != F.shiftright(F.get(h, i - 1), 59))))
-    bands = F.flatten(F.transform(least, lambda f: F.transform(F.sequence(F.lit(-4), F.lit(3)), lambda g: F.filter(f, lambda x: F.shiftright(x, 61) == g))))
-    return F.transform(F.filter(bands, lambda b: F.size(b) > 0), lambda b: F.xxhash64(b))
+#: The points of each band, of 128 spread evenly over the range of the hashes.
+BANDS, ROWS = 25, 5
+POINTS = [random.Random(7).sample(range(128), 128)[i * ROWS : (i + 1) * ROWS] for i in range(BANDS)]
+
+
+def band_keys(hashes: Column) -> Column:
+    """The band keys of a line from the hashes of its shingles. A row is the least hash at or after a point, around the circle of hashes, so that two lines agree in it with their Jaccard similarity as chance, however few shingles they have."""
+    slot = lambda x: (F.shiftright(x, 57) + 64).cast("int")
+    least = F.transform(F.array(F.sort_array(hashes)), lambda h: F.filter(h, lambda x, i: (i == 0) | (F.shiftright(x, 57) != F.shiftright(F.get(h, i - 1), 57))))
+    runs = lambda h: F.transform(h, lambda x, i: F.array_repeat(x, slot(x) - F.when(i == 0, F.lit(-1)).otherwise(slot(F.get(h, i - 1)))))
+    after = lambda h: F.array(F.array_repeat(F.get(h, F.lit(0)), F.lit(127) - slot(F.element_at(h, -1))))
+    slots = F.transform(least, lambda h: F.flatten(F.concat(runs(h), after(h))))
+    points = F.array(*[F.array(*map(F.lit, p)) for p in POINTS])
+    return F.flatten(F.transform(slots, lambda v: F.transform(points, lambda p: F.xxhash64(F.get(p, F.lit(0)), *[F.get(v, F.get(p, F.lit(r))) for r in range(ROWS)]))))
 
 
 def shingle_set(norm: Column, k: int) -> Column:
     """The hashes of a line's distinct k-character shingles, by slices of its UTF-16 form, where a character has a fixed place."""
-    wide = F.encode(norm, "UTF-16BE")
-    last = F.greatest((F.octet_length(wide) / 2).cast("int") - k, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(wide, i * 2 + 1, F.lit(2 * k)))))
+    wide = F.array(F.encode(norm, "UTF-16BE"))  # bound by a lambda, so that it is made once and not for each shingle
+    last = lambda w: F.greatest((F.octet_length(w) / 2).cast("int") - k, F.lit(0))
+    return F.flatten(F.transform(wide, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.xxhash64(F.substring(w, i * 2 + 1, F.lit(2 * k)))))))
 
 
 def similar_lines(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of at least `percent` in 100."""
     both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-    near = F.least(F.length("ta"), F.length("tb")) * 100 >= F.greatest(F.length("ta"), F.length("tb")) * (percent // 2)
-    sets = both.where(near).select("a", "b", shingle_set(F.col("ta"), k).alias("sa"), shingle_set(F.col("tb"), k).alias("sb"))
+    both = both.where(F.least(F.length("ta"), F.length("tb")) * 100 >= F.greatest(F.length("ta"), F.length("tb")) * (percent // 2))
+    sets = both.select("a", "b", shingle_set(F.col("ta"), k).alias("sa"), shingle_set(F.col("tb"), k).alias("sb"))
     sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def removed_lines(docs: DataFrame, least_chars: int = 20, width: int = 12, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """did, th and gone (the positions of lines to remove) of each document that loses any."""
     lines = lines_of(docs, least_chars)
-    bands = common.stored(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")).select("lid", F.explode(band_keys(F.col("norm"), width)).alias("key")), "bands")
+    bands = common.stored(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")).select("lid", F.explode(band_keys(shingle_set(F.col("norm"), k))).alias("key")), "bands")
     shared = bands.groupBy("key").agg(F.min("lid").alias("centre"), F.max("lid").alias("other")).where("centre <> other").select("key", "centre")
     shared = common.stored(shared, "shared")  # written, so that adaptive execution can split the join on a hot key
     buckets = common.stored(bands.join(shared, "key").select("key", "lid", "centre"), "buckets")
@@ -62,10 +72,9 @@ def removed_lines(docs: DataFrame, least_chars: int = 20, width: int = 12, k: in
         mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("lid", "component"), F.xxhash64("lid", F.lit(r))).alias("c")).where("lo <> hi")
         more = here.join(mixed, "key").where("component <> c.component").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
         new = common.stored(similar_lines(more, texts, percent, k), "links")
-        if new.isEmpty():
-            break
-        links = links.unionByName(new)
-        comp = common.stored(components(links, named).withColumnRenamed("doc_id", "lid"), "components")
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            comp = common.stored(components(links, named).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component")
     roots = linked.unionByName(linked.select(F.col("component").alias("lid"), "component").distinct())
     places = lines_of(docs, least_chars).select("did", "th", "pos", "lid")

@@ -214,6 +214,44 @@ def test_line_dedup(spark):
     assert got[3].text == "" and got[4].text is None and got[5].text == "" and got[6].text == rows[5][1]
 
 
+def line_roots(lines):
+    """The first line of each line's component, by brute force."""
+    sets = [{s[i : i + 5] for i in range(max(len(s) - 4, 1))} for s in lines]
+    root = list(range(len(lines)))
+    for i in range(len(lines)):
+        for j in range(i):
+            if root[i] != root[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def kept_lines(spark, lines, **options):
+    docs = frame(spark, list(enumerate(lines)))
+    return {r.doc_id for r in line_dedup.deduplicate(docs, **options).collect() if not r.n_removed}
+
+
+def edited(rng, line, n):
+    """line with n characters changed to ones that occur nowhere else."""
+    out = list(line)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = chr(rng.randint(0x4E00, 0x9F00))
+    return "".join(out)
+
+
+def test_line_dedup_finds_scattered_edits(spark):
+    """Pairs at a Jaccard of about 0.8 to 0.85, long and short, with and without spaces."""
+    rng = random.Random(11)
+    lines = []
+    for i in range(120):
+        base = prose(rng, rng.choice((25, 60, 150)))
+        base = base.replace(" ", "-") if i % 2 else base
+        lines += [base, edited(rng, base, max(1, len(base) // 50))]
+    root = line_roots(lines)
+    assert len(set(root)) < 190
+    assert kept_lines(spark, lines) == set(root)
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"  # several hundred held-out rows; the smallest table has 19
     for got, label, least in ((quality.op2_quality(spark, sf), "quality", 0.95), (toxicity.op9_toxicity(spark, sf), "toxic", 0.95)):
