@@ -53,6 +53,19 @@ def similar_lines(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> D
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
+def crossing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """All pairs (a, b) of lines that share a bucket and are in different components. A bucket's commonest component is only paired with the rest."""
+    here = buckets.select("key", "lid").join(comp, "lid")
+    parts = here.groupBy("key", "component").agg(F.count("*").alias("m"))
+    mains = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    mains = common.stored(mains, "mains")  # written, so that adaptive execution can split the join on a hot key
+    mixed = common.stored(here.join(mains, "key"), "mixed")
+    x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"))
+    y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main")
+    met = x.join(y, "key").where("cx <> cy AND (cy = main OR x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
     """did, th and gone (the positions of lines to remove) of each document that loses any."""
     lines = lines_of(docs, least_chars)
@@ -75,6 +88,10 @@ def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: i
         if not new.isEmpty():
             links = links.unionByName(new)
             comp = common.stored(components(links, named).withColumnRenamed("doc_id", "lid"), "components")
+    # at last every pair that shares a bucket and is still in different components
+    new = common.stored(similar_lines(crossing(buckets, comp), texts, percent, k), "links")
+    if not new.isEmpty():
+        comp = common.stored(components(links.unionByName(new), named).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component")
     roots = linked.unionByName(linked.select(F.col("component").alias("lid"), "component").distinct())
     places = lines_of(docs, least_chars).select("did", "th", "pos", "lid")

@@ -252,6 +252,16 @@ def test_line_dedup_finds_scattered_edits(spark):
     assert kept_lines(spark, lines) == set(root)
 
 
+def test_line_dedup_compares_mixed_buckets(spark):
+    """Variants of one line, most of them just under the threshold to each other."""
+    rng = random.Random(12)
+    base = prose(rng, 60)
+    lines = [edited(rng, base, rng.randint(4, 6)) for _ in range(200)]
+    root = line_roots(lines)
+    assert 5 < len(set(root)) < 190
+    assert kept_lines(spark, lines) == set(root)
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"  # several hundred held-out rows; the smallest table has 19
     for got, label, least in ((quality.op2_quality(spark, sf), "quality", 0.95), (toxicity.op9_toxicity(spark, sf), "toxic", 0.95)):
