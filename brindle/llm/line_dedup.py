@@ -16,9 +16,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
-    """did, th, pos, norm and lid (a hash of norm) of every line that is compared."""
+    """did, th, pos, norm and lid (a hash of norm) of every line that is compared; a blank one never is."""
     lines = _keyed(docs).select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.posexplode("_lines").alias("pos", "line"))
-    return lines.select("did", "th", "pos", F.lower(F.trim("line")).alias("norm")).where(F.length("norm") >= least_chars).withColumn("lid", F.xxhash64("norm"))
+    return lines.select("did", "th", "pos", F.lower(F.trim("line")).alias("norm")).where((F.length("norm") >= least_chars) & F.col("norm").rlike("\\S")).withColumn("lid", F.xxhash64("norm"))
 
 
 #: The points of each band, of 128 spread evenly over the range of the hashes.
@@ -46,8 +46,9 @@ def shingle_set(norm: Column, k: int) -> Column:
 
 def similar_lines(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of at least `percent` in 100."""
-    both = pairs.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a").join(texts.select(F.col("lid").alias("b"), F.col("norm").alias("tb")), "b")
-    both = both.where(F.least(F.length("ta"), F.length("tb")) * 100 >= F.greatest(F.length("ta"), F.length("tb")) * (percent // 2))
+    sizes = pairs.join(texts.select(F.col("lid").alias("a"), F.col("n").alias("na")), "a")
+    close = sizes.join(texts.select(F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    both = close.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a")
     sets = both.select("a", "b", shingle_set(F.col("ta"), k).alias("sa"), shingle_set(F.col("tb"), k).alias("sb"))
     sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
@@ -66,7 +67,7 @@ def crossing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
+def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2, short: bool = False) -> DataFrame:
     """did, th and gone (the positions of lines to remove) of each document that loses any."""
     lines = lines_of(docs, least_chars)
     bands = common.stored(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")).select("lid", F.explode(band_keys(shingle_set(F.col("norm"), k))).alias("key")), "bands")
@@ -74,7 +75,7 @@ def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: i
     shared = common.stored(shared, "shared")  # written, so that adaptive execution can split the join on a hot key
     buckets = common.stored(bands.join(shared, "key").select("key", "lid", "centre"), "buckets")
     nodes = buckets.select("lid").distinct()
-    texts = common.stored(lines.select("lid", "norm").join(nodes, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")), "texts")
+    texts = common.stored(lines.select("lid", "norm").join(nodes, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")).withColumn("n", F.size(shingle_set(F.col("norm"), k))), "texts")
     edges = buckets.where("lid <> centre").select(F.col("centre").alias("a"), F.col("lid").alias("b")).distinct()
     links = common.stored(similar_lines(edges, texts, percent, k), "links")
     named = nodes.withColumnRenamed("lid", "doc_id")
@@ -94,7 +95,7 @@ def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: i
         comp = common.stored(components(links.unionByName(new), named).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component")
     roots = linked.unionByName(linked.select(F.col("component").alias("lid"), "component").distinct())
-    places = lines_of(docs, least_chars).select("did", "th", "pos", "lid")
+    places = lines_of(docs, 1 if short else least_chars).select("did", "th", "pos", "lid")
     firsts = places.groupBy("lid").agg(F.min(F.struct("did", "th", "pos")).alias("at"), F.count("*").alias("n")).join(roots, "lid", "left").select("lid", "at", "n", F.coalesce("component", "lid").alias("root"))
     firsts = common.stored(firsts.where("n > 1").unionByName(firsts.where("n = 1").join(roots.select("lid"), "lid", "left_semi")), "firsts")
     keep = firsts.groupBy("root").agg(F.min("at").alias("kept"))
@@ -103,10 +104,11 @@ def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: i
     return gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
 
 
-def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
+def deduplicate(docs: DataFrame, **options: int | bool) -> DataFrame:
     """docs without repeated lines, with the columns n_lines and n_removed added and n_chars, if there is one, made anew.
 
-    Lines are compared trimmed and in lower case, and only if they have `least_chars` characters then; shorter and blank ones stay.
+    Lines are compared trimmed and in lower case. Those with fewer than `least_chars` characters then stay, or with `short`
+    go if an equal line came before; blank ones stay.
     Two lines are linked if the sets of their `k`-character shingles have a Jaccard similarity of at least `percent` in 100
     (equal lines too). Of each component the line that comes first (by doc_id, then position) stays. Null texts stay null;
     documents that lose all lines keep an empty text. Repeated rows count as one document and keep the same lines; a null
@@ -126,5 +128,5 @@ def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

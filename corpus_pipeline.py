@@ -21,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that came before, exactly or nearly; one that loses all its text goes."""
-    done = line_dedup.deduplicate(docs)
+    done = line_dedup.deduplicate(docs, short=True)
     return done.where((F.col("n_removed") == 0) | (F.trim(F.col("text")) != "")).select(*docs.columns)
 
 

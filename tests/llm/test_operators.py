@@ -262,6 +262,12 @@ def test_line_dedup_compares_mixed_buckets(spark):
     assert kept_lines(spark, lines) == set(root)
 
 
+def test_line_dedup_of_runs_and_short_lines(spark):
+    """Equal sets of shingles at any length, and short lines by equality."""
+    lines = ["-" * 30, "-" * 90, "ha " * 10, "ha " * 100, "}", " } ", "\t", "\t", "", "return", "Return"]
+    assert kept_lines(spark, lines, short=True) == {0, 2, 4, 6, 7, 8, 9}
+
+
 def test_classifiers_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"  # several hundred held-out rows; the smallest table has 19
     for got, label, least in ((quality.op2_quality(spark, sf), "quality", 0.95), (toxicity.op9_toxicity(spark, sf), "toxic", 0.95)):
