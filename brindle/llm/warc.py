@@ -101,7 +101,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     lead to it. A payload that holds the magic is put together from its pieces. A file that doesn't begin with the magic,
     and what follows a record whose length is missing or wrong, gives no records. No files: no rows.
     """
-    body, cut = F.col("body"), F.expr(r"locate('\r\n\r\n', decode(substring(body, 1, 65536), 'ISO-8859-1'))")
+    # the whole body is searched only where the header's end is not near
+    end = r"locate('\r\n\r\n', decode({}, 'ISO-8859-1'))"
+    near, far = end.format("substring(body, 1, 65536)"), end.format("body")
+    body, cut = F.col("body"), F.expr(f"CASE WHEN {near} > 0 THEN {near} ELSE {far} END")
     found = candidates(spark, path).where("at >= 0").withColumn("cut", cut)
     head = F.when(F.col("cut") > 0, F.decode(F.substring(body, F.lit(1), F.col("cut") + 1), "UTF-8"))
     parsed = found.withColumn("head", head).withColumn("length", F.expr("try_cast(nullif(regexp_extract(head, '(?im)^Content-Length:[ \\\\t]*([0-9]+)', 1), '') AS bigint)"))

@@ -167,6 +167,14 @@ def test_warc_round_trip_with_magic_in_payloads(spark):
         assert warc_id(got[i].refers_to) == twin
 
 
+def test_warc_reads_on_after_a_long_header(spark):
+    rows = [(1, "u1", "a"), (2, "data:," + "x" * 70000, "b"), (3, "u3", "c"), (4, "u4", "d")]
+    path = common.new_path(spark, "test")
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {warc_id(r.record_id): (r.target_uri, bytes(r.payload).decode()) for r in warc.read_archive(spark, path).collect()}
+    assert got == {i: (u, h) for i, u, h in rows}
+
+
 def warc_id(urn):
     return int(urn.rsplit(":", 1)[1].rstrip(">")) if urn else None
 
