@@ -1,7 +1,5 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only."""
 
-import random
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,96 +10,137 @@ from .components import components
 def _keyed(docs: DataFrame) -> DataFrame:
     """did and th name a document, so that null or repeated ids do no harm; rows with both equal have equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).withColumn("_lines", F.split(text, "\n"))
+    return docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_th", F.xxhash64(text, F.length(text)))
+
+
+def _split(text: str = "text") -> Column:
+    return F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n")
 
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     """did, th, pos, norm and lid (a hash of norm) of every line that is compared; a blank one never is."""
-    lines = _keyed(docs).select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.posexplode("_lines").alias("pos", "line"))
+    lines = _keyed(docs).select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.posexplode(_split()).alias("pos", "line"))
     return lines.select("did", "th", "pos", F.lower(F.trim("line")).alias("norm")).where((F.length("norm") >= least_chars) & F.col("norm").rlike("\\S")).withColumn("lid", F.xxhash64("norm"))
 
 
-#: The points of each band, of 128 spread evenly over the range of the hashes.
-BANDS, ROWS = 25, 5
-POINTS = [random.Random(7).sample(range(128), 128)[i * ROWS : (i + 1) * ROWS] for i in range(BANDS)]
-
+#: Bands of a signature, hashes in a band, the least hashes of a line that its signature is made of, and how many of them are kept to tell unlike lines apart.
+BANDS, ROWS, SAMPLE, SKETCH = 16, 5, 48, 16
+#: From FEW word starts on, a line is signed by the shingles at its word starts; below MANY by those at every position; between them by both.
+FEW, MANY = 24, 36
 
-def band_keys(hashes: Column) -> Column:
-    """The band keys of a line from the hashes of its shingles. A row is the least hash at or after a point, around the circle of hashes, so that two lines agree in it with their Jaccard similarity as chance, however few shingles they have."""
-    slot = lambda x: (F.shiftright(x, 57) + 64).cast("int")
-    least = F.transform(F.array(F.sort_array(hashes)), lambda h: F.filter(h, lambda x, i: (i == 0) | (F.shiftright(x, 57) != F.shiftright(F.get(h, i - 1), 57))))
-    runs = lambda h: F.transform(h, lambda x, i: F.array_repeat(x, slot(x) - F.when(i == 0, F.lit(-1)).otherwise(slot(F.get(h, i - 1)))))
-    after = lambda h: F.array(F.array_repeat(F.get(h, F.lit(0)), F.lit(127) - slot(F.element_at(h, -1))))
-    slots = F.transform(least, lambda h: F.flatten(F.concat(runs(h), after(h))))
-    points = F.array(*[F.array(*map(F.lit, p)) for p in POINTS])
-    return F.flatten(F.transform(slots, lambda v: F.transform(points, lambda p: F.xxhash64(F.get(p, F.lit(0)), *[F.get(v, F.get(p, F.lit(r))) for r in range(ROWS)]))))
 
-
-def shingle_set(norm: Column, k: int) -> Column:
+def shingle_hashes(norm: Column, k: int) -> Column:
     """The hashes of a line's distinct k-character shingles, by slices of its UTF-16 form, where a character has a fixed place."""
     wide = F.array(F.encode(norm, "UTF-16BE"))  # bound by a lambda, so that it is made once and not for each shingle
-    last = lambda w: F.greatest((F.octet_length(w) / 2).cast("int") - k, F.lit(0))
-    return F.flatten(F.transform(wide, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), last(w)), lambda i: F.xxhash64(F.substring(w, i * 2 + 1, F.lit(2 * k)))))))
+    last = lambda w: F.greatest(F.octet_length(w) - (2 * k - 1), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(wide, lambda w: F.transform(F.sequence(F.lit(1), last(w), F.lit(2)), lambda i: F.xxhash64(F.substring(w, i, F.lit(2 * k)))))))
+
+
+def samples(lines: DataFrame, k: int) -> DataFrame:
+    """lid, kind and h, the SAMPLE least hashes (all, if fewer) of a line's distinct shingles, sorted; lines has distinct lid, and norm.
+
+    kind 1 has the shingles at the starts of words, about one in six, of lines with many words; kind 0 has those at every
+    position, of lines with few. As lines about the border have both, similar lines have a kind in common.
+    """
+    starts = lines.select("lid", "norm", F.regexp_extract_all("norm", F.lit(f"\\s(?=(\\S.{{{k - 1}}}))"), F.lit(1)).alias("starts"))
+    words = F.when(F.size("starts") >= FEW, F.array_distinct(F.transform("starts", lambda x: F.xxhash64(x))))
+    every = F.when(F.size("starts") < MANY, shingle_hashes(F.col("norm"), k))
+    kinds = starts.select("lid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), every.alias("h")), F.struct(F.lit(1).alias("kind"), words.alias("h")))).alias("x"))
+    return kinds.where("x.h IS NOT NULL").select("lid", "x.kind", F.slice(F.sort_array("x.h"), 1, SAMPLE).alias("h"))
+
+
+def signatures(lines: DataFrame, k: int) -> DataFrame:
+    """lid, kind, keys (of the bands) and sketch of each line; lines has distinct lid, and norm.
+
+    The sampled hashes are hashed anew, so that they lie all over the range again. A band is the ROWS least of them at or after
+    its point, around the circle: two lines agree in it if the least of all their hashes there are in both, however few they have.
+    """
+    again = samples(lines, k).select("lid", "kind", F.transform(F.slice("h", 1, SKETCH), lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"), F.sort_array(F.transform("h", lambda x: F.xxhash64(x))).alias("h"))
+    points = [-(2**63) + j * (2**64 // BANDS) for j in range(BANDS)]
+    around = F.flatten(F.array_repeat(F.slice("h", 1, ROWS), ROWS))  # a line with fewer hashes goes around more than once
+    placed = again.select("lid", "kind", "sketch", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"), F.concat("h", around).alias("h"))
+    start = lambda j: F.array_position("m", F.lit(points[j])).cast("int") - j
+    keys = [F.xxhash64("kind", F.lit(j), F.slice("h", start(j), F.lit(ROWS))) for j in range(BANDS)]
+    return placed.select("lid", "kind", "sketch", F.array(*keys).alias("keys"))
 
 
-def similar_lines(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+def alike(one: str, two: str) -> Column:
+    """Whether sketches share at least half: those of lines at a Jaccard similarity of 0.8 share about 9 in 10."""
+    return F.size(F.array_intersect(one, two)) * 2 >= F.greatest(F.size(one), F.size(two))
+
+
+def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches are alike, so that only few texts are fetched; pairs has the kind whose bands agree too."""
+    side = lambda c: sketches.select(F.col("lid").alias(c), "kind", F.col("sketch").alias("s" + c))
+    return pairs.join(side("a"), ["a", "kind"]).join(side("b"), ["b", "kind"]).where(alike("sa", "sb")).select("a", "b").distinct()
+
+
+def similar_lines(pairs: DataFrame, lines: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of at least `percent` in 100."""
-    sizes = pairs.join(texts.select(F.col("lid").alias("a"), F.col("n").alias("na")), "a")
-    close = sizes.join(texts.select(F.col("lid").alias("b"), F.col("n").alias("nb"), F.col("norm").alias("tb")), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    both = close.join(texts.select(F.col("lid").alias("a"), F.col("norm").alias("ta")), "a")
-    sets = both.select("a", "b", shingle_set(F.col("ta"), k).alias("sa"), shingle_set(F.col("tb"), k).alias("sb"))
+    pairs = common.stored(pairs, "pairs")
+    ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "ends")
+    texts = common.stored(lines.select("lid", "norm").join(ends, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")), "texts")
+    side = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias("t" + c))
+    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shingle_hashes(F.col("ta"), k).alias("sa"), shingle_hashes(F.col("tb"), k).alias("sb"))
     sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def crossing(buckets: DataFrame, comp: DataFrame) -> DataFrame:
-    """All pairs (a, b) of lines that share a bucket and are in different components. A bucket's commonest component is only paired with the rest."""
-    here = buckets.select("key", "lid").join(comp, "lid")
+def crossing(buckets: DataFrame, comp: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The promising pairs (a, b) of lines that share a bucket and are in different components. A bucket's commonest component is only paired with the rest."""
+    here = buckets.select("key", "lid", "kind").join(comp, "lid")
     parts = here.groupBy("key", "component").agg(F.count("*").alias("m"))
     mains = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mains = common.stored(mains, "mains")  # written, so that adaptive execution can split the join on a hot key
-    mixed = common.stored(here.join(mains, "key"), "mixed")
-    x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"))
-    y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main")
-    met = x.join(y, "key").where("cx <> cy AND (cy = main OR x < y)")
+    mixed = common.stored(here.join(mains, "key").join(sketches, ["lid", "kind"]).select("key", "lid", "component", "main", "sketch"), "mixed")
+    x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
+    y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main", F.col("sketch").alias("sy"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & alike("sx", "sy"))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2, short: bool = False) -> DataFrame:
-    """did, th and gone (the positions of lines to remove) of each document that loses any."""
-    lines = lines_of(docs, least_chars)
-    bands = common.stored(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")).select("lid", F.explode(band_keys(shingle_set(F.col("norm"), k))).alias("key")), "bands")
+def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
+    """lid and root of every line that is linked with others; lines has lid and norm, lids repeated where lines are equal.
+
+    Buckets of equal band keys give a star of candidate edges around one member, then, where components differ, around another one
+    in `rounds` rounds, and at last every pair that shares a bucket and is still in different components.
+    """
+    signed = common.stored(signatures(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")), k), "signatures")
+    sketches = signed.select("lid", "kind", "sketch")
+    bands = signed.select("lid", "kind", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("lid").alias("centre"), F.max("lid").alias("other")).where("centre <> other").select("key", "centre")
     shared = common.stored(shared, "shared")  # written, so that adaptive execution can split the join on a hot key
-    buckets = common.stored(bands.join(shared, "key").select("key", "lid", "centre"), "buckets")
-    nodes = buckets.select("lid").distinct()
-    texts = common.stored(lines.select("lid", "norm").join(nodes, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")).withColumn("n", F.size(shingle_set(F.col("norm"), k))), "texts")
-    edges = buckets.where("lid <> centre").select(F.col("centre").alias("a"), F.col("lid").alias("b")).distinct()
-    links = common.stored(similar_lines(edges, texts, percent, k), "links")
-    named = nodes.withColumnRenamed("lid", "doc_id")
+    buckets = common.stored(bands.join(shared, "key").select("key", "lid", "kind", "centre"), "buckets")
+    edges = common.stored(buckets.where("lid <> centre").select(F.col("centre").alias("a"), F.col("lid").alias("b"), "kind").distinct(), "edges")
+    links = common.stored(similar_lines(promising(edges, sketches), lines, percent, k), "links")
+    named = common.stored(buckets.select(F.col("lid").alias("doc_id")).distinct(), "nodes")
     comp = common.stored(components(links, named).withColumnRenamed("doc_id", "lid"), "components")
-    for r in range(1, rounds):
-        # two similar lines may have met only around a centre that is like neither: another centre where components differ
-        here = buckets.select("key", "lid").join(comp, "lid")
-        mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("lid", "component"), F.xxhash64("lid", F.lit(r))).alias("c")).where("lo <> hi")
-        more = here.join(mixed, "key").where("component <> c.component").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct().join(edges, ["a", "b"], "left_anti")
-        new = common.stored(similar_lines(more, texts, percent, k), "links")
+    for r in range(1, rounds + 1):
+        if r < rounds:
+            here = buckets.select("key", "lid", "kind").join(comp, "lid")
+            mixed = here.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("lid", "component"), F.xxhash64("lid", F.lit(r))).alias("c")).where("lo <> hi").select("key", "c")
+            more = here.join(common.stored(mixed, "mixed"), "key").where("component <> c.component").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b"), "kind").distinct()
+            more = promising(more.join(edges, ["a", "b", "kind"], "left_anti"), sketches)
+        else:
+            more = crossing(buckets, comp, sketches)
+        new = common.stored(similar_lines(more, lines, percent, k), "links")
         if not new.isEmpty():
             links = links.unionByName(new)
             comp = common.stored(components(links, named).withColumnRenamed("doc_id", "lid"), "components")
-    # at last every pair that shares a bucket and is still in different components
-    new = common.stored(similar_lines(crossing(buckets, comp), texts, percent, k), "links")
-    if not new.isEmpty():
-        comp = common.stored(components(links.unionByName(new), named).withColumnRenamed("doc_id", "lid"), "components")
-    linked = comp.where("lid <> component")
-    roots = linked.unionByName(linked.select(F.col("component").alias("lid"), "component").distinct())
+    linked = comp.where("lid <> component").select("lid", F.col("component").alias("root"))
+    return linked.unionByName(linked.select(F.col("root").alias("lid"), "root").distinct())
+
+
+def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2, short: bool = False) -> DataFrame:
+    """did, th and gone (the positions of lines to remove) of each document that loses any."""
+    roots = common.stored(linked_lines(lines_of(docs, least_chars), k, percent, rounds), "roots")
     places = lines_of(docs, 1 if short else least_chars).select("did", "th", "pos", "lid")
-    firsts = places.groupBy("lid").agg(F.min(F.struct("did", "th", "pos")).alias("at"), F.count("*").alias("n")).join(roots, "lid", "left").select("lid", "at", "n", F.coalesce("component", "lid").alias("root"))
-    firsts = common.stored(firsts.where("n > 1").unionByName(firsts.where("n = 1").join(roots.select("lid"), "lid", "left_semi")), "firsts")
+    firsts = places.groupBy("lid").agg(F.min(F.struct("did", "th", "pos")).alias("at"), F.count("*").alias("n")).join(roots, "lid", "left").where("n > 1 OR root IS NOT NULL")
+    firsts = common.stored(firsts.select("lid", "at", F.coalesce("root", "lid").alias("root")), "firsts")
     keep = firsts.groupBy("root").agg(F.min("at").alias("kept"))
     doomed = common.stored(firsts.join(keep, "root").select("lid", "kept"), "doomed")
     gone = places.join(doomed, "lid").where(F.struct("did", "th", "pos") != F.col("kept"))
-    return gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
+    return common.stored(gone.groupBy("did", "th").agg(F.collect_set("pos").alias("gone")), "gone")
 
 
 def deduplicate(docs: DataFrame, **options: int | bool) -> DataFrame:
@@ -118,10 +157,10 @@ def deduplicate(docs: DataFrame, **options: int | bool) -> DataFrame:
     if taken:
         raise ValueError(f"columns {sorted(taken)} are there already")
     gone = removed_lines(docs, **options).select(F.col("did").alias("_did"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    joined = _keyed(docs).join(gone, ["_did", "_th"], "left")
-    kept = F.filter("_lines", lambda _, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("text", text).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("n_removed", F.greatest(F.size(F.coalesce("_gone", F.array().cast("array<int>"))), F.lit(0)).cast("long"))
+    joined = _keyed(docs).join(gone, ["_did", "_th"], "left").withColumn("_lines", _split())
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
+    out = joined.withColumn("n_lines", F.size("_lines").cast("long")).withColumn("text", text).withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns, "n_lines", "n_removed")
