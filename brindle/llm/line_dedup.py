@@ -19,8 +19,9 @@ def _split(text: str = "text") -> Column:
 
 def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     """did, th, pos, norm and lid (a hash of norm) of every line that is compared; a blank one never is."""
-    lines = _keyed(docs).select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.posexplode(_split()).alias("pos", "line"))
-    return lines.select("did", "th", "pos", F.lower(F.trim("line")).alias("norm")).where((F.length("norm") >= least_chars) & F.col("norm").rlike("\\S")).withColumn("lid", F.xxhash64("norm"))
+    norm = F.transform(_split(), lambda line: F.lower(F.trim(line)))  # in the array, so that each is made once and not where it is used
+    lines = _keyed(docs).select(F.col("_did").alias("did"), F.col("_th").alias("th"), F.posexplode(norm).alias("pos", "norm"))
+    return lines.where((F.length("norm") >= least_chars) & F.col("norm").rlike("\\S")).withColumn("lid", F.xxhash64("norm"))
 
 
 #: Bands of a signature, hashes in a band, the least hashes of a line that its signature is made of, and how many of them are kept to tell unlike lines apart.
