@@ -39,11 +39,28 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back. A lost executor costs nothing."""
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = new_path(spark, what)
     df.write.parquet(path)
+    del df
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind this step, which nothing reads any more
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(schema).parquet(path)
+    back._written = path
+    return back
+
+
+def release(*steps: DataFrame) -> None:
+    """Delete written steps that nothing reads any more."""
+    for step in steps:
+        path = step._written
+        if path in _written:
+            _written.remove(path)
+            _delete(step.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def clean_up() -> None:
@@ -53,9 +70,7 @@ def clean_up() -> None:
         path = _written.pop()
         if spark is not None:
             try:
-                jvm = spark.sparkContext._jvm
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+                _delete(spark, path)
             except Exception:  # the JVM may be gone at exit
                 return
 

@@ -25,8 +25,8 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
 
 
 #: Bands of a signature, hashes in a band, the least hashes of a line that its signature is made of, and how many of them are kept to tell unlike lines apart.
-BANDS, ROWS, SAMPLE, SKETCH = 16, 5, 48, 16
-#: From FEW word starts on, a line is signed by the shingles at its word starts; below MANY by those at every position; between them by both.
+BANDS, ROWS, SAMPLE, SKETCH = 16, 5, 64, 16
+#: From FEW distinct shingles at word starts on, a line is signed by those; below MANY by the shingles at every position; between them by both.
 FEW, MANY = 24, 36
 
 
@@ -43,8 +43,9 @@ def samples(lines: DataFrame, k: int) -> DataFrame:
     kind 1 has the shingles at the starts of words, about one in six, of lines with many words; kind 0 has those at every
     position, of lines with few. As lines about the border have both, similar lines have a kind in common.
     """
-    starts = lines.select("lid", "norm", F.regexp_extract_all("norm", F.lit(f"\\s(?=(\\S.{{{k - 1}}}))"), F.lit(1)).alias("starts"))
-    words = F.when(F.size("starts") >= FEW, F.array_distinct(F.transform("starts", lambda x: F.xxhash64(x))))
+    starts = F.regexp_extract_all("norm", F.lit(f"\\s(?=(\\S.{{{k - 1}}}))"), F.lit(1))
+    starts = lines.select("lid", "norm", F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x))).alias("starts"))
+    words = F.when(F.size("starts") >= FEW, F.col("starts"))
     every = F.when(F.size("starts") < MANY, shingle_hashes(F.col("norm"), k))
     kinds = starts.select("lid", F.explode(F.array(F.struct(F.lit(0).alias("kind"), every.alias("h")), F.struct(F.lit(1).alias("kind"), words.alias("h")))).alias("x"))
     return kinds.where("x.h IS NOT NULL").select("lid", "x.kind", F.slice(F.sort_array("x.h"), 1, SAMPLE).alias("h"))
@@ -107,11 +108,14 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
     in `rounds` rounds, and at last every pair that shares a bucket and is still in different components.
     """
     signed = common.stored(signatures(lines.groupBy("lid").agg(F.any_value("norm").alias("norm")), k), "signatures")
-    sketches = signed.select("lid", "kind", "sketch")
     bands = signed.select("lid", "kind", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("lid").alias("centre"), F.max("lid").alias("other")).where("centre <> other").select("key", "centre")
-    shared = common.stored(shared, "shared")  # written, so that adaptive execution can split the join on a hot key
-    buckets = common.stored(bands.join(shared, "key").select("key", "lid", "kind", "centre"), "buckets")
+    # a line has a key once, so a key that is there twice is shared; written, so that adaptive execution can split the join on a hot key
+    shared = common.stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared")
+    hits = common.stored(bands.join(shared, "key").select("key", "lid", "kind"), "hits")
+    sketches = common.stored(signed.select("lid", "kind", "sketch").join(hits.select("lid", "kind").distinct(), ["lid", "kind"], "left_semi"), "sketches")
+    common.release(signed)
+    centres = common.stored(hits.groupBy("key").agg(F.min("lid").alias("centre")), "centres")
+    buckets = common.stored(hits.join(centres, "key").select("key", "lid", "kind", "centre"), "buckets")
     edges = common.stored(buckets.where("lid <> centre").select(F.col("centre").alias("a"), F.col("lid").alias("b"), "kind").distinct(), "edges")
     links = common.stored(similar_lines(promising(edges, sketches), lines, percent, k), "links")
     named = common.stored(buckets.select(F.col("lid").alias("doc_id")).distinct(), "nodes")
