@@ -17,6 +17,10 @@ def chi_square_below(x: np.ndarray | float, m: int) -> np.ndarray | float:
     return 1 - np.exp(-h) * sum(h**i / factorial(i) for i in range(m // 2))
 
 
+#: So many queries meet a chunk of rows in one task.
+LOT = 4096
+
+
 class KdTree:
     """Leaves of at most `leaf` points, cut at the medians of the widest axes; boxes are those of the points within."""
 
@@ -79,12 +83,28 @@ def _valid(v: Column) -> Column:
 
 
 def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure: float, cell_rows: int, most_cells: int, sample: int, seed: int) -> DataFrame:
-    """query (a vector's first id), ids and score of what each asking vector finds. rows: ids (the smallest k + 1 of a vector's ids), vec, and asks (not empty if it asks)."""
+    """query (a vector's first id), ids and score of the k + 1 best that each asking vector finds. rows: ids (the smallest k + 1 of a vector's ids), vec, and asks (not empty if it asks).
+
+    Rows have one home, their cell, in chunks of a bounded size; queries go to the cells. Only where more than LOT queries meet in
+    a cell, its rows are there once for each lot of them.
+    """
     matrix = np.random.default_rng(seed + dim).normal(size=(dim, dims))
     levels = int(np.ceil(np.log2(max(1, min(most_cells, total / cell_rows)))))
-    some = rows.orderBy(F.xxhash64(F.col("ids")[0])).limit(sample).select("vec").toPandas()["vec"]
-    x = np.array(some.tolist(), dtype=float).reshape(len(some), dim)
-    points = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ matrix
+
+    def project(vecs: pd.Series) -> np.ndarray:
+        v = np.array(vecs.tolist(), dtype=float).reshape(len(vecs), dim)
+        scale = np.abs(v).max(axis=1, keepdims=True)
+        v = v / scale
+        return (v / np.sqrt((v * v).sum(axis=1))[:, None]) @ matrix
+
+    def flat(batches):
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"point": list(project(b["vec"]))})
+
+    # at most `sample` points of `dims` numbers come to the driver
+    some = rows.orderBy(F.xxhash64(F.col("ids")[0])).limit(sample).select("vec").mapInPandas(flat, "point array<double>").toPandas()["point"] if levels else []
+    points = np.array(list(some), dtype=float).reshape(len(some), dims)
     boxes = [(np.full(dims, -inf), np.full(dims, inf), np.arange(len(points)))]
     splits: list[tuple[int, float]] = []  # a heap: node i has children 2i + 1 and 2i + 2
     for _ in range(levels):
@@ -99,12 +119,6 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
         boxes = halves
     low, high = np.stack([b[0] for b in boxes]), np.stack([b[1] for b in boxes])
 
-    def project(vecs: pd.Series) -> np.ndarray:
-        v = np.array(vecs.tolist(), dtype=float).reshape(len(vecs), dim)
-        scale = np.abs(v).max(axis=1, keepdims=True)
-        v = v / scale
-        return (v / np.sqrt((v * v).sum(axis=1))[:, None]) @ matrix
-
     def cell(p: np.ndarray) -> np.ndarray:
         node = np.zeros(len(p), dtype=np.int64)
         for _ in range(levels):
@@ -120,8 +134,9 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
 
     indexed = common.stored(rows.mapInPandas(placed, "ids array<long>, vec array<double>, asks array<long>, point array<double>, cell long"), "index")
     asking = indexed.where(F.size("asks") > 0).select(F.col("ids")[0].alias("query"), "vec", "point", "cell")
-    parts = max(1, -(-asking.count() // 4096))
-    here = indexed.select("ids", F.col("vec").alias("v"), F.col("point").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "cell")
+    # of each of the at most `most_cells` cells: in how many chunks its rows lie
+    chunks = common.stored(indexed.groupBy("cell").agg(F.ceil(F.count("*") / (4 * cell_rows)).cast("int").alias("chunks")), "chunks")
+    chunked = indexed.join(F.broadcast(chunks), "cell").select("ids", F.col("vec").alias("v"), F.col("point").alias("p"), "cell", F.pmod(F.xxhash64(F.col("ids")[0]), F.col("chunks")).cast("int").alias("chunk"))
 
     def meet(rows_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -135,8 +150,12 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
         return pd.DataFrame(out, columns=["query", "ids", "score"])
 
     def ask(q: DataFrame) -> DataFrame:
-        keyed = q.withColumn("part", F.pmod(F.xxhash64("query"), F.lit(parts)).cast("int"))
-        return here.groupBy("cell", "part").cogroup(keyed.groupBy("cell", "part")).applyInPandas(meet, "query long, ids array<long>, score double")
+        lots = common.stored(q.groupBy("cell").agg(F.ceil(F.count("*") / LOT).cast("int").alias("lots")), "lots")
+        here = chunked.join(F.broadcast(lots), "cell").select("ids", "v", "p", "cell", "chunk", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"))
+        sent = q.join(F.broadcast(lots), "cell").join(F.broadcast(chunks), "cell").withColumn("lot", F.pmod(F.xxhash64("query"), F.col("lots")).cast("int"))
+        sent = sent.select("query", "vec", "point", "known", "cell", "lot", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        keys = ["cell", "chunk", "lot"]
+        return here.groupBy(*keys).cogroup(common.stored(sent, "asked").groupBy(*keys)).applyInPandas(meet, "query long, ids array<long>, score double")
 
     home = common.stored(ask(asking.withColumn("known", F.lit(float("inf")))), "home")
     # the (k + 1)-th best at home bounds what other cells have to offer
@@ -155,11 +174,12 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
                         continue
                     yield pd.DataFrame({"query": b["query"].iloc[i], "vec": [b["vec"].iloc[i]] * len(to), "point": [b["point"].iloc[i]] * len(to), "cell": to, "known": known})
 
-    away = ask(asking.join(reach, "query", "left").select("query", "vec", "point", "cell", F.coalesce("known", F.lit(float("inf"))).alias("known")).mapInPandas(onward, "query long, vec array<double>, point array<double>, cell long, known double"))
-    return home.unionByName(away)
+    away = ask(common.stored(asking.join(reach, "query", "left").select("query", "vec", "point", "cell", F.coalesce("known", F.lit(float("inf"))).alias("known")).mapInPandas(onward, "query long, vec array<double>, point array<double>, cell long, known double"), "sent"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0])
+    return home.unionByName(away).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).drop("n")
 
 
-def nearest(vectors: DataFrame, query: Column, k: int = 5, dims: int = 8, sure: float = 0.999, cell_rows: int = 16_384, most_cells: int = 65_536, sample: int = 20_000, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, query: Column, k: int = 5, dims: int = 8, sure: float = 0.999, cell_rows: int = 16_384, most_cells: int = 16_384, sample: int = 131_072, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest other rows by cosine, ties to the smaller vec_id.
 
     vectors has vec_id and embedding; query is a condition on vec_id. The cells of a kd-tree over the projections of a bounded
@@ -194,12 +214,9 @@ def nearest(vectors: DataFrame, query: Column, k: int = 5, dims: int = 8, sure:
 
 
 def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    """Each query's 5 nearest by cosine, the queries being the rows whose vec_id is divisible by 50.
 
-
-ORACLE = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
-SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.e, c.e) AS score,
-    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, c.e) DESC, c.vec_id) AS r
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE r <= 5"""
+    Rows without vec_id, and vectors that are null, empty, zero or hold null or non-finite components, take no part; equal vectors
+    have equal scores and come in the order of vec_id; an empty table gives no rows. Other columns are not read.
+    """
+    return nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
