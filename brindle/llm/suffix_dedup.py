@@ -93,16 +93,26 @@ def anchors_of(raw: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
 
 
-def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """did, th: a document's identity, so that null or repeated ids do no harm; rows with both equal have equal texts."""
+def _keyed(docs: DataFrame, *more: str, wide: bool = False) -> DataFrame:
+    """did, th, raw: a document's identity and bytes, so that null or repeated ids do no harm; rows with both equal have equal texts. wide: by a hash of id and text, where (doc_id, th) doesn't tell texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("th"), text.cast("binary").alias("raw"), *more)
+    hashed = F.xxhash64(F.col("doc_id").cast("long"), text)
+    did = hashed if wide else F.coalesce(F.col("doc_id").cast("long"), hashed)
+    th = F.hash(text, F.col("doc_id").isNull())
+    return docs.select(did.alias("did"), th.alias("th"), text.cast("binary").alias("raw"), *more)
+
+
+def ambiguous(docs: DataFrame) -> bool:
+    """Whether rows with one doc_id and different texts share a text hash of 32 bits, as in tables that repeat an id very often."""
+    told = _keyed(docs).select("did", "th", F.xxhash64("raw", F.length("raw")).alias("h"))
+    return not told.groupBy("did", "th").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").isEmpty()
 
 
 ANCHORS = "did long, th int, gram long, context long, place int, first int, last int"
 
 
-def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def anchors(docs: DataFrame, span: int, gram: int, wide: bool = False) -> DataFrame:
+    """One row for each anchor of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [anchors_of(np.frombuffer(t.as_py(), dtype=np.uint8), span, gram) for t in b.column(2)]
@@ -111,7 +121,7 @@ def anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(cols, kinds, strict=True)], names=["did", "th", "gram", "context", "place", "first", "last"])
 
-    return _keyed(docs).mapInArrow(run, ANCHORS)
+    return _keyed(docs, wide=wide).mapInArrow(run, ANCHORS)
 
 
 def blocks(listed: DataFrame, span: int) -> DataFrame:
@@ -153,9 +163,9 @@ def blocks(listed: DataFrame, span: int) -> DataFrame:
     return listed.select("did", "th", "raw", "ranges").mapInArrow(run, "did long, th int, h1 long, h2 long, at int, lo int, hi int, before binary, behind binary, alone boolean")
 
 
-def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50, wide: bool = False) -> DataFrame:
     """did, th, ranges: of each document with repeated strings, an array of (first start, last start) of those, unordered."""
-    found = common.stored(anchors(docs, span, gram), "anchors")
+    found = common.stored(anchors(docs, span, gram, wide), "anchors")
     ranks = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
     # what a hot key joins with is written first: a join of two plain shuffles is one that adaptive execution splits
     ranks = common.stored(ranks.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "grams")
@@ -166,7 +176,7 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFra
     classes = common.stored(rest.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ranges, "place")).alias("one")), "contexts")
     whole = rest.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(*ranges)
     per_text = classes.groupBy("one.did", "one.th").agg(F.collect_list(F.struct("one.place", "one.first", "one.last", (F.col("n") == 1).alias("alone"))).alias("ranges"))
-    each = common.stored(blocks(_keyed(docs).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
+    each = common.stored(blocks(_keyed(docs, wide=wide).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
     # a block whose core is unique has no repeated string; one whose core and sides occur again has only such
     cores = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("sides").alias("a"), F.max("sides").alias("z")).where("n > 1").select("h1", "h2", (F.col("a") == F.col("z")).alias("same"))
     cores = common.stored(cores, "cores")
@@ -207,7 +217,8 @@ def deduplicate(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
     Removes each byte covered by a string of `span` bytes that starts elsewhere too, in the same document or another; judged on
     the input. Null texts count as empty; texts shorter than `span` stay. Repeated rows repeat each other and go as a whole.
     """
-    marked = _keyed(docs, "doc_id").join(repeated_ranges(docs, span, gram), ["did", "th"], "left")
+    wide = ambiguous(docs)
+    marked = _keyed(docs, "doc_id", wide=wide).join(repeated_ranges(docs, span, gram, wide), ["did", "th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,6 +241,11 @@ def deduplicate(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every document, and the digest of what stays.
+
+    A null text is empty, a null doc_id stays null, repeated rows repeat each other and go as a whole where they have 200 bytes, and
+    an empty table gives no rows. Other columns are not read.
+    """
     done = deduplicate(common.table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -262,7 +278,8 @@ def cut_texts(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
     names = docs.columns
     if taken := {"did", "th", "raw", "ranges", "_kept"} & set(names):
         raise ValueError(f"columns {sorted(taken)} are there already")
-    marked = _keyed(docs, *names).join(repeated_ranges(docs, span, gram), ["did", "th"], "left").select("raw", "ranges", *names)
+    wide = ambiguous(docs)
+    marked = _keyed(docs, *names, wide=wide).join(repeated_ranges(docs, span, gram, wide), ["did", "th"], "left").select("raw", "ranges", *names)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
