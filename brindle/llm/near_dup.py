@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     stays untested, unless others link its ends.
 
     Null or empty texts have the set size 0 and their own doc_id as component. A null doc_id has a null component and is
-    kept. Repeated ids are one document in links; each row is returned, and the first by set digest stands for the id.
+    kept. Repeated ids are one document in links; each row is returned, and of different texts of one id the one whose packed set
+    comes first is compared. Other columns are not read.
     """
     made = common.stored(signed(docs, words, bands * rows, rows), "sets")
     real = made.where("doc_id IS NOT NULL AND n > 0")
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = reps.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("doc_id").alias("centre")).where("m > 1")
     shared = common.stored(shared, "shared")
     buckets = common.stored(reps.join(shared, ["band", "key"]), "buckets")
-    sets = common.stored(sets_of(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), words).dropDuplicates(["doc_id"]), "members")
+    sets = common.stored(sets_of(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("set").alias("set")), "members")
     links = tested = None
     comp = None
     for r in range(rounds + 1):
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     mixed = here.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
     here = common.stored(here.join(common.stored(mixed, "mixed"), ["band", "key"]), "mixed")
     if not here.isEmpty():
-        keyed = members.where("keys IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "keys").join(here.select("doc_id").distinct(), "doc_id", "left_semi")
+        keyed = members.where("keys IS NOT NULL").groupBy("doc_id").agg(F.min_by("keys", F.struct("n", F.col("keys")[0])).alias("keys")).join(here.select("doc_id").distinct(), "doc_id", "left_semi")
         new = common.stored(crossing(here, keyed, sets, percent), "links")
         if not new.isEmpty():
             comp = common.stored(components(links.unionByName(new), buckets.select("doc_id").distinct()), "components")
@@ -264,6 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by its 2-word shingles; nulls, empty texts, repeated ids and empty tables as near_duplicates says."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=2)
 
 
