@@ -28,6 +28,7 @@ def mix(h: np.ndarray, key: int = 0) -> np.ndarray:
 BYTE = mix(np.arange(256, dtype=np.uint64), 1)
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
+PART = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -42,6 +43,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def hashed(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words of raw that lie from first to last."""
+    up, down = powers(len(raw) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[raw] * up[: len(raw)])))
+        return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+
+
 def shingles(text: bytes, k: int) -> np.ndarray:
     """64-bit hashes of the distinct k-word shingles, sorted; of the whole sequence, if there are fewer words.
 
@@ -53,10 +62,10 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     first, last = edge[::2], edge[1::2]
     if not len(first):
         return np.zeros(0, dtype=np.uint64)
-    up, down = powers(len(raw) + 1)
+    # words are hashed in parts of the text, so that sums and powers stay as small as a part, or as one word if that is longer
+    cuts = np.unique(np.concatenate(([0], np.searchsorted(first, np.arange(PART, len(raw), PART)), [len(first)])))
+    word = np.concatenate([hashed(raw[first[i] : last[j - 1]], first[i:j] - first[i], last[i:j] - first[i]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)])
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(BYTE[raw] * up[: len(raw)])))
-        word = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
         n = min(k, len(word))
         h = np.zeros(len(word) - n + 1, dtype=np.uint64)
         for i in range(n):

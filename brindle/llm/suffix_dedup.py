@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 from .near_dup import BYTE, mix
 
-PART = 1 << 20
+PART = 1 << 18
 BLOCK = 16
 MASK = np.uint64((1 << 21) - 1)
 BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)

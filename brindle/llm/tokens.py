@@ -4,6 +4,7 @@ import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ class WordBpe:
 
     _open: dict[str, "WordBpe"] = {}
 
-    def __init__(self, path: str, memo: int = 500_000):
-        self.whole, self.memo, self.words, self.most = Tokenizer.from_file(path), {}, {}, memo
+    def __init__(self, path: str, memo: int = 100_000):
+        self.path, self.memo, self.words, self.most = path, {}, {}, memo
         spec = json.load(open(path, encoding="utf-8"))
         names, suffix = byte_names(), spec["model"]["end_of_word_suffix"]
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -67,6 +68,11 @@ class WordBpe:
             cls._open[path] = cls(path)
         return cls._open[path]
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own tokenizer, opened when a word first needs it."""
+        return Tokenizer.from_file(self.path)
+
     def _slow(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype=np.uint32).tobytes()
 
