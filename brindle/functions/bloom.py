@@ -14,6 +14,7 @@ class BloomFilter:
     def __init__(self, capacity: int, error: float = 0.001):
         if capacity < 1 or not 0 < error < 1:
             raise ValueError("capacity must be positive and error between 0 and 1")
+        self.capacity, self.error = capacity, error
         self.size = ceil(-capacity * log(error) / log(2) ** 2)
         self.hashes = max(1, ceil(self.size / capacity * log(2)))
         self.bits = np.zeros(-(-self.size // 8), dtype=np.uint8)
@@ -43,6 +44,17 @@ class BloomFilter:
     def false_positive_rate(self) -> float:
         return (1 - exp(-self.hashes * self.added / self.size)) ** self.hashes
 
+    def save(self, spark, path: str) -> None:
+        """One Parquet row: shape, count and bits."""
+        spark.createDataFrame([(self.capacity, self.error, self.added, bytes(self.bits))], "capacity long, error double, added long, bits binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "BloomFilter":
+        row = spark.read.parquet(path).first()
+        out = cls(row["capacity"], row["error"])
+        out.bits, out.added = np.frombuffer(row["bits"], dtype=np.uint8).copy(), row["added"]
+        return out
+
     @classmethod
     def of(cls, df: DataFrame, column: str, capacity: int, error: float = 0.001) -> "BloomFilter":
         """Of all values of a column: each task gives one bit array of the filter's fixed size."""
@@ -69,3 +81,32 @@ class BloomFilter:
             return x.map(lambda v: None if v is None else str(v) in own)
 
         return test(column)
+
+
+class ScalableBloomFilter:
+    """Filters that follow each other as they fill: the i-th has capacity * 2**i and the error times 0.9**i (small growth) or 0.5**i."""
+
+    def __init__(self, capacity: int = 1000, error: float = 0.001, small: bool = True):
+        self.capacity, self.error, self.tighten = capacity, error, 0.9 if small else 0.5
+        self.filters = [BloomFilter(capacity, error)]
+
+    def add(self, item: str) -> bool:
+        """Whether the item was new; one that may be there is left out."""
+        if item in self:
+            return False
+        if self.filters[-1].added >= self.filters[-1].capacity:
+            i = len(self.filters)
+            self.filters.append(BloomFilter(self.capacity * 2**i, self.error * self.tighten**i))
+        self.filters[-1].add(item)
+        return True
+
+    def __contains__(self, item: str) -> bool:
+        return any(item in f for f in self.filters)
+
+    def __len__(self) -> int:
+        return sum(f.added for f in self.filters)
+
+    @classmethod
+    def of(cls, df: DataFrame, column: str, error: float = 0.001) -> BloomFilter:
+        """For a table the size is known: one filter of the right size."""
+        return BloomFilter.of(df, column, max(1, df.select(column).distinct().count()), error)

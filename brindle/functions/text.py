@@ -14,9 +14,24 @@ URL = r"(?:https?://|www\.)[^\s<>\"']+"
 #: The emoji ranges that cleaning removes.
 EMOJI = "[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}-\\x{1F251}]+"
 CJK = "[\\x{4e00}-\\x{9fff}]"
-#: A small English lexicon for the rule-based polarity.
-POSITIVE = ["good", "great", "excellent", "amazing", "wonderful", "best", "love", "happy"]
-NEGATIVE = ["bad", "terrible", "awful", "worst", "hate", "sad", "angry", "horrible"]
+#: The words of the rule-based polarity, and the words that keyword extraction leaves out.
+POSITIVE = [
+    "good", "great", "excellent", "amazing", "wonderful", "fantastic", "awesome", "love", "happy", "joy", "beautiful", "perfect",
+    "best", "nice", "brilliant", "superb", "outstanding", "好", "棒", "优秀", "喜欢", "爱", "开心", "快乐", "美好", "完美", "精彩", "出色", "赞", "厉害",
+]
+NEGATIVE = [
+    "bad", "terrible", "awful", "horrible", "worst", "hate", "sad", "angry", "disappointed", "poor", "negative", "wrong", "fail",
+    "failure", "problem", "issue", "disaster", "坏", "差", "糟糕", "讨厌", "恨", "难过", "伤心", "愤怒", "失望", "问题", "错误", "失败", "垃圾",
+]
+STOP = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "to", "of", "in",
+    "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above", "below",
+    "between", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very",
+    "的", "是", "在", "了", "和", "与", "或", "这", "那", "有", "我", "你", "他", "她", "它", "们", "就", "也", "都", "而", "及", "着", "但",
+    "如果", "因为", "所以", "虽然", "但是",
+]
 
 
 def hashtags(text: Column) -> Column:
@@ -29,14 +44,15 @@ def mentions(text: Column) -> Column:
 
 def paired_hashtags(text: Column) -> Column:
     """The form #tag#: trimmed, empty ones left out, repeats kept."""
-    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("#([^#]+)#"), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("#([^#]+)#"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_url(url: Column) -> Column:
-    """https if no scheme, host in lower case, no fragment, no slash at the end of the path."""
-    full = F.when(url.rlike("(?i)^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
+    """Trimmed; https if it doesn't begin with http:// or https://; scheme and host in lower case; no fragment; no slash at the path's end but where it is all of the path."""
+    url = F.trim(url)
+    full = F.when(url.rlike("^https?://"), url).otherwise(F.concat(F.lit("https://"), url))
     part = lambda i: F.regexp_extract(full, r"^([A-Za-z]+)://([^/?#]*)([^?#]*)(\?[^#]*)?", i)
-    return F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.regexp_replace(part(3), "/+$", ""), part(4))
+    return F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), F.coalesce(F.nullif(F.regexp_replace(part(3), "/+$", ""), F.lit("")), F.lit("/")), F.when(part(4) == "?", "").otherwise(part(4)))
 
 
 def urls(text: Column) -> Column:
@@ -44,9 +60,9 @@ def urls(text: Column) -> Column:
 
 
 def script_language(text: Column) -> Column:
-    """zh if more than 0.3 of the characters that aren't spaces are Chinese, en if more than half are ASCII letters, else other."""
-    n = F.greatest(F.length(F.regexp_replace(text, " ", "")), F.lit(1))
-    return F.when(F.regexp_count(text, F.lit(CJK)) / n > 0.3, "zh").when(F.regexp_count(text, F.lit("[A-Za-z]")) / n > 0.5, "en").otherwise("other")
+    """zh if more than 0.3 of the characters that aren't spaces are Chinese, en if more than half are ASCII letters, else other; null for a text of spaces alone."""
+    n = F.nullif(F.length(F.regexp_replace(text, " ", "")), F.lit(0))
+    return F.when(F.regexp_count(text, F.lit(CJK)) / n > 0.3, "zh").when(F.regexp_count(text, F.lit("[A-Za-z]")) / n > 0.5, "en").when(n.isNotNull(), "other")
 
 
 def clean(text: Column, urls: bool = True, mentions: bool = True, hashtags: bool = True, emoji: bool = True, lower: bool = False, most: int | None = None) -> Column:
@@ -69,6 +85,21 @@ def clean_full(text: Column, **options) -> Column:
     return clean(unescaped(F.regexp_replace(text, "<[^>]+>", " ")), **options)
 
 
+def normalized_content(text: Column, **options) -> Column:
+    """struct of the clean text, lengths before and after, its script, and what the raw text has: URLs, hashtags, mentions, tags, control characters."""
+    cleaned = clean_full(text, **options)
+    return F.struct(
+        cleaned.alias("text"), F.length(text).alias("original_length"), F.length(cleaned).alias("cleaned_length"), script_language(cleaned).alias("language"), urls(text).alias("urls"), hashtags(text).alias("hashtags"), mentions(text).alias("mentions"),
+        F.regexp_count(text, F.lit("<[^>]+>")).alias("html_tags"), F.regexp_count(text, F.lit("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]")).alias("control_chars"), F.greatest(F.length(text) - F.length(cleaned), F.lit(0)).alias("removed_chars"),
+    )
+
+
+def cleaning_stats(rows: DataFrame, column: str = "content") -> DataFrame:
+    """One row over normalized_content structs: how many, mean lengths and reduction, and how many URLs, hashtags and mentions."""
+    c = lambda f: F.col(f"{column}.{f}")
+    return rows.agg(F.count("*").alias("total"), F.avg(c("original_length")).alias("avg_original_length"), F.avg(c("cleaned_length")).alias("avg_cleaned_length"), F.avg(c("original_length") - c("cleaned_length")).alias("avg_reduction"), *(F.coalesce(F.sum(F.size(c(f))), F.lit(0)).alias(f"total_{f}") for f in ("urls", "hashtags", "mentions")))
+
+
 def tokens(text: Column) -> Column:
     """Words after URLs, mentions and tags are gone and punctuation is space."""
     bare = F.regexp_replace(F.regexp_replace(text, URL, " "), f"[@#]{WORD}+", " ")
@@ -97,7 +128,7 @@ def features(text: Column) -> dict[str, Column]:
     }
 
 
-def keywords(docs: DataFrame, key: str, text: str, k: int = 5, stop: tuple[str, ...] = ()) -> DataFrame:
+def keywords(docs: DataFrame, key: str, text: str, k: int = 5, stop: tuple[str, ...] = tuple(STOP)) -> DataFrame:
     """Per document its k commonest words of over one character; ties to the word that comes first."""
     from pyspark.sql import Window
 
@@ -124,7 +155,7 @@ def word_set(text: Column) -> Column:
 
 def text_list(items: Column) -> Column:
     """Trimmed, without empty ones and repeats, in order; null is an empty list."""
-    return F.coalesce(F.array_distinct(F.filter(F.transform(items, F.trim), lambda x: x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.array_distinct(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")), F.array().cast("array<string>"))
 
 
 def url_list(items: Column) -> Column:
@@ -166,20 +197,21 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if not x or not y else 1.0 if x.lower() == y.lower() else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)])
 
 
+def lcs_share(x: str | None, y: str | None) -> float:
+    """Length of the longest common subsequence over the longer length, by bit-parallel rows; 0 if either is empty."""
+    if not x or not y:
+        return 0.0
+    masks: dict[str, int] = {}
+    for i, c in enumerate(x):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full = (1 << len(x)) - 1
+    row = full
+    for c in y:
+        hit = row & masks.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return (len(x) - row.bit_count()) / max(len(x), len(y))
+
+
 @F.pandas_udf(DoubleType())
 def lcs(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Length of the longest common subsequence over the longer length, by bit-parallel rows."""
-
-    def one(x: str | None, y: str | None) -> float:
-        if not x or not y:
-            return 0.0
-        masks: dict[str, int] = {}
-        for i, c in enumerate(x):
-            masks[c] = masks.get(c, 0) | 1 << i
-        row, full = (1 << len(x)) - 1, (1 << len(x)) - 1
-        for c in y:
-            hit = row & masks.get(c, 0)
-            row = ((row + hit) | (row - hit)) & full
-        return (len(x) - row.bit_count()) / max(len(x), len(y))
-
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
+    return pd.Series([lcs_share(x, y) for x, y in zip(a, b, strict=True)])

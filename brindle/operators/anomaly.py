@@ -148,7 +148,7 @@ class IsolationForest:
         return 2 ** (-np.mean([self._depths(t, scaled) for t in self.forest], axis=0) / max(self.norm, 1e-10)) if self.forest else np.zeros(len(x))
 
     def transform(self, df: DataFrame, contributions: bool = False) -> DataFrame:
-        """df with score (higher: more isolated) and is_anomaly: over the 1 - contamination quantile. contributions: what each column's value adds to the score against its mean."""
+        """df with score (higher: more isolated) and is_anomaly: over the 1 - contamination quantile (to a ten-thousandth of the rows). contributions: what each column's value adds to the score against its mean."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -166,7 +166,7 @@ class IsolationForest:
         for c in self.columns if contributions else ():
             schema = schema.add(f"{c}_contribution", DoubleType())
         scored = df.mapInPandas(run, schema)
-        cut = scored.agg(F.percentile("score", F.lit(1 - self.contamination)).alias("cut"))
+        cut = scored.agg(F.percentile_approx("score", F.lit(1 - self.contamination), F.lit(10_000)).alias("cut"))
         return scored.join(F.broadcast(cut)).withColumn("is_anomaly", F.col("score") > F.col("cut")).drop("cut")
 
 
@@ -182,14 +182,59 @@ def ensemble(scores: list[Column], weights: list[float] | None = None, method: s
     return combined, combined > threshold
 
 
+class Detectors:
+    """An ensemble put together detector by detector: (name, score column, weight)."""
+
+    def __init__(self, method: str = "weighted_average", threshold: float = 0.5):
+        self.method, self.threshold, self.names, self.scores, self.weights = method, threshold, [], [], []
+
+    def add(self, name: str, score: Column, weight: float | None = None) -> "Detectors":
+        """Without a weight all detectors weigh the same from now on; with one, it is put behind those that are there."""
+        self.names.append(name)
+        self.scores.append(score)
+        self.weights = [1 / len(self.scores)] * len(self.scores) if weight is None else [*self.weights, weight]
+        return self
+
+    def columns(self) -> tuple[Column, Column]:
+        return ensemble(self.scores, self.weights, self.method, self.threshold)
+
+
+def stacked(df: DataFrame, flags: list[str], scores: list[str], threshold: float = 0.5) -> DataFrame:
+    """df with score and is_anomaly of a logistic regression that learns, from the detectors' scores, whether any of them flags a row. No flag or only flags: that share."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    voted = df.withColumn("_any", sum((F.col(f).cast("int") for f in flags), F.lit(0)) > 0)
+    share = voted.agg(F.avg(F.col("_any").cast("double"))).first()[0]
+    if share in (None, 0.0, 1.0):
+        return df.withColumn("score", F.lit(share or 0.0)).withColumn("is_anomaly", F.col("score") > threshold)
+    rows = voted.withColumn("features", array_to_vector(F.array(*(F.col(c).cast("double") for c in scores)))).withColumn("label", F.col("_any").cast("double"))
+    done = LogisticRegression(regParam=0.01).fit(rows).transform(rows)
+    return done.withColumn("score", vector_to_array("probability")[1]).select(*df.columns, "score", (F.col("score") > threshold).alias("is_anomaly"))
+
+
+def latent(df: DataFrame, columns: list[str], dims: int = 2) -> DataFrame:
+    """df with latent, the coordinates of its min-max scaled columns on their first principal axes. A d x d moment matrix comes to the driver."""
+    d = len(columns)
+    span = df.agg(*(F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)), *(F.max(c).alias(f"hi{i}") for i, c in enumerate(columns))).first()
+    if span["lo0"] is None:
+        return df.withColumn("latent", F.array(*[F.lit(0.0)] * dims))
+    scaled = [(F.col(c) - span[f"lo{i}"]) / ((span[f"hi{i}"] - span[f"lo{i}"]) or 1.0) for i, c in enumerate(columns)]
+    row = df.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(scaled)), *(F.covar_pop(scaled[i], scaled[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    cov = np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)], dtype=float)
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :dims]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])] < 0, -1, 1)
+    return df.withColumn("latent", F.array(*(sum(((s - row[f"m{i}"]) * float(axes[i, k]) for i, s in enumerate(scaled)), F.lit(0.0)) for k in range(axes.shape[1]))))
+
+
 def report(score: Column, anomaly_type: Column) -> Column:
     return F.struct(score.alias("score"), anomaly_type.alias("type"), F.least(F.abs(score) / 2, F.lit(1.0)).alias("confidence"))
 
 
 def anomaly_class(features: Column) -> Column:
-    """unknown for fewer than five features; else the first of volume, content and network whose feature is over 3; else general."""
+    """unknown for fewer than five features; else by the first of the features 0, 1 and 2 that is over 3."""
     at = lambda i: F.get(features, F.lit(i)) > 3
-    return F.when(F.size(features) < 5, "unknown").when(at(0), "volume").when(at(1), "content").when(at(2), "network").otherwise("general")
+    return F.when(F.size(features) < 5, "unknown").when(at(0), "viral_content").when(at(1), "rapid_spread").when(at(2), "unusual_engagement").otherwise("behavioral_anomaly")
 
 
 def top_contributions(contributions: Column, k: int = 5) -> Column:
@@ -210,5 +255,5 @@ def reconstruction_error(df: DataFrame, columns: list[str], latent: int = 2, qua
     keep = np.eye(d) - basis @ basis.T
     error = sum(((sum((off[j] * float(keep[i, j]) for j in range(d)), F.lit(0.0))) ** 2 for i in range(d)), F.lit(0.0)) / d
     scored = df.withColumn("score", error)
-    cut = scored.agg(F.percentile("score", F.lit(quantile)).alias("cut"))
+    cut = scored.agg(F.percentile_approx("score", F.lit(quantile), F.lit(10_000)).alias("cut"))
     return scored.join(F.broadcast(cut)).withColumn("is_anomaly", F.col("score") > F.col("cut")).drop("cut")

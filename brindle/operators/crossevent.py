@@ -1,10 +1,12 @@
 """Matching accounts across events: alignments, reuse scores, assets, evolution of behaviour, snapshot likeness."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import graph
+from brindle.operators import features, graph
 from brindle.sources import adapters as A
 
 
@@ -63,11 +65,106 @@ def overall(attribute: DataFrame, behavior: DataFrame, relation: DataFrame, weig
 
 def reuse_score(attribute: Column, behavior: Column, relation: Column, name: Column, avatar: Column) -> Column:
     base = 0.45 * attribute + 0.35 * behavior + 0.2 * relation
-    return F.least(base * F.when(name > 0.9, 1.1).otherwise(1.0) * F.when(avatar > 0.95, 1.05).otherwise(1.0), F.lit(1.0))
+    named = F.when(name > 0.9, F.least(base * 1.1, F.lit(1.0))).otherwise(base)
+    return F.when(avatar > 0.95, F.least(named * 1.05, F.lit(1.0))).otherwise(named)
+
+
+def match_type(name: Column, avatar: Column, behavior: Column, attribute: Column) -> Column:
+    """What a match rests on: the first that is high enough, of the likenesses of names and avatars and the two scores."""
+    return F.when(name > 0.95, "same_username").when(avatar > 0.95, "same_avatar").when(behavior > 0.8, "behavioral_match").when(attribute > 0.7, "attribute_match").otherwise("probable_match")
+
+
+def by_behavior(posts1: DataFrame, posts2: DataFrame, pairs: DataFrame | None = None, least: float = 0.3) -> DataFrame:
+    """u1, u2 and 0.4 hours + 0.3 style + 0.3 hashtag likeness over `least`, with the three parts.
+
+    posts have user_id, posted_at, content and hashtags. pairs (u1, u2) are those to compare; without them all of two events'
+    users are, as the parts leave none out beforehand: what is made then grows with the product of both numbers of users.
+    """
+    who = lambda p, n: p.select(F.col("user_id").alias(f"u{n}")).distinct()
+    pairs = who(posts1, 1).crossJoin(who(posts2, 2)) if pairs is None else pairs.select("u1", "u2").distinct()
+
+    def profile(p: DataFrame, n: int) -> DataFrame:
+        hours = p.where("posted_at IS NOT NULL").groupBy("user_id", F.hour("posted_at").alias("h")).agg(F.count("*").alias("c")).groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("h", "c"))).alias("m"), F.sum("c").alias("total"))
+        share = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.coalesce(F.try_element_at("m", h), F.lit(0)) / F.col("total"))  # 24 numbers a user
+        tags = p.select("user_id", F.explode("hashtags").alias("t")).groupBy("user_id").agg(F.collect_set(F.lower("t")).alias("tags"))
+        style = features.text_style(p)
+        out = who(p, n).withColumnRenamed(f"u{n}", "user_id").join(hours.select("user_id", share.alias("hours")), "user_id", "left").join(style.select("user_id", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features.STYLE)).alias("style")), "user_id", "left").join(tags, "user_id", "left")
+        return out.select(F.col("user_id").alias(f"u{n}"), F.col("hours").alias(f"hours{n}"), F.col("style").alias(f"style{n}"), F.coalesce("tags", F.array().cast("array<string>")).alias(f"tags{n}"))
+
+    both = pairs.join(profile(posts1, 1), "u1").join(profile(posts2, 2), "u2")
+    half = lambda x, y: F.when(x > 0, x * F.log(F.when(x > 0, x).otherwise(1.0) / ((x + y) / 2))).otherwise(0.0)
+    js = F.aggregate(F.zip_with("hours1", "hours2", lambda x, y: half(x, y) + half(y, x)), F.lit(0.0), lambda a, x: a + x) / 2
+    times = F.coalesce(1 - F.sqrt(F.greatest(js, F.lit(0.0))), F.lit(0.0))
+    style = F.coalesce(features.cosine(*([F.get(c, F.lit(i)) for i in range(len(features.STYLE))] for c in ("style1", "style2"))), F.lit(0.0))
+    scored = both.select("u1", "u2", times.alias("time_similarity"), style.alias("style_similarity"), T.jaccard(F.col("tags1"), F.col("tags2"), 0.0).alias("topic_similarity"))
+    return scored.withColumn("behavior", 0.4 * F.col("time_similarity") + 0.3 * F.col("style_similarity") + 0.3 * F.col("topic_similarity")).where(F.col("behavior") > least)
+
+
+def reuse_matches(attribute: DataFrame, behavior: DataFrame, relation: DataFrame | None = None, least: float = 0.7) -> DataFrame:
+    """u1, u2, score and kind of the pairs whose reuse score is at least `least`, from the alignment tables; a missing score is 0."""
+    none = attribute.select("u1", "u2", F.lit(0.0).alias("relation")).limit(0)
+    parts = [attribute.select("u1", "u2", "attribute", "name_similarity", "avatar_similarity"), behavior.select("u1", "u2", "behavior"), none if relation is None else relation.select("u1", "u2", "relation")]
+    joined = parts[0].join(parts[1], ["u1", "u2"], "full").join(parts[2], ["u1", "u2"], "full").na.fill(0.0)
+    a, b, r, n, v = (F.col(c) for c in ("attribute", "behavior", "relation", "name_similarity", "avatar_similarity"))
+    return joined.select("u1", "u2", reuse_score(a, b, r, n, v).alias("score"), match_type(n, v, b, a).alias("kind")).where(F.col("score") >= least)
 
 
-def match_type(attribute: Column, behavior: Column, relation: Column) -> Column:
-    return F.when((attribute > 0.8) & (behavior > 0.8), "full").when(attribute > 0.8, "attribute").when(behavior > 0.8, "behavior").when(relation > 0.8, "relation").otherwise("partial")
+def detect_reuse(users1: DataFrame, users2: DataFrame, posts1: DataFrame, posts2: DataFrame, least: float = 0.7) -> DataFrame:
+    """Accounts of one event that come back in another, by attributes and behaviour; relations have no part. Behaviour is compared for the pairs that attributes align: without them no score reaches 0.7."""
+    attribute = by_attributes(users1, users2)
+    return reuse_matches(attribute, by_behavior(posts1, posts2, attribute), least=least)
+
+
+def strategy_features(posts: DataFrame, by: list[str]) -> DataFrame:
+    """Means per post: posting_frequency (1 where there are any), content length in thousands, hashtags, mentions, URLs."""
+    text = F.coalesce("content", F.lit(""))
+    per = lambda pattern: F.sum(F.regexp_count(text, F.lit(pattern))) / F.count("*")
+    return posts.groupBy(*by).agg(F.lit(1.0).alias("posting_frequency"), (F.sum(F.length(text)) / F.count("*") / 1000).alias("content_length_avg"), per(f"#{T.WORD}+").alias("hashtag_usage"), per(f"@{T.WORD}+").alias("mention_usage"), per("https?://\\S+").alias("url_usage"))
+
+
+def evolution_summary(users: DataFrame, changes: DataFrame, moves: DataFrame, user: str = "user_id") -> DataFrame:
+    """One row: users, those with changes of strategy and of role, and their shares."""
+    distinct = lambda df, name: df.agg(F.countDistinct(user).alias(name))
+    one = distinct(users, "users").crossJoin(distinct(changes, "changed")).crossJoin(distinct(moves, "moved"))  # single rows
+    share = lambda c: F.coalesce(F.try_divide(c, "users"), F.lit(0.0))
+    return one.select("users", "changed", "moved", share("changed").alias("change_rate"), share("moved").alias("move_rate"))
+
+
+def summary(events: int, matches: DataFrame, owned: DataFrame, similarities: DataFrame, high: float = 0.8) -> DataFrame:
+    """One row over a whole analysis: events, reused accounts, those of a score of at least `high`, assets, accounts in them, mean likeness of the events' graphs."""
+    m = matches.agg(F.count("*").alias("reused"), F.count_if(F.col("score") >= high).alias("high_risk"))
+    a = owned.agg(F.countDistinct("component").alias("assets"), F.count("*").alias("accounts"))
+    g = similarities.agg(F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("graph_similarity"))
+    return m.crossJoin(a).crossJoin(g).select(F.lit(events).alias("events"), "*")  # single rows
+
+
+def analyze(events: list[dict[str, DataFrame]], reuse: bool = True, evolve: bool = True, own: bool = True) -> dict[str, DataFrame]:
+    """Matches, assets, roles, changes, moves and graph likeness over a list of events in order.
+
+    An event has users, posts and edges (src, dst); accounts are told apart by their ids. Every pair of events is compared.
+    Tables whose part is left out are not in the result.
+    """
+    numbered = list(enumerate(events))
+    pairs = [(i, a, j, b) for i, a in numbered for j, b in numbered if i < j]
+    out: dict[str, DataFrame] = {}
+    if pairs:
+        nodes = [graph.nodes_of(e["edges"]) for e in events]
+        out["similarities"] = reduce(DataFrame.unionByName, [snapshot_similarity(nodes[i], a["edges"], nodes[j], b["edges"]).select(F.lit(i).alias("one"), F.lit(j).alias("two"), "similarity") for i, a, j, b in pairs])
+    if pairs and (reuse or own):
+        found = [detect_reuse(a["users"], b["users"], a["posts"], b["posts"]).select(F.lit(i).alias("one"), F.lit(j).alias("two"), "*") for i, a, j, b in pairs]
+        out["matches"] = reduce(DataFrame.unionByName, found)
+        if own:
+            out["assets"] = assets(out["matches"])
+    if evolve and events:
+        posts = reduce(DataFrame.unionByName, [e["posts"].select("user_id", "content", F.lit(i).alias("event")) for i, e in numbered])
+        weight = reduce(DataFrame.unionByName, [influence(e["edges"]).select(F.col("node").alias("user_id"), "influence", F.lit(i).alias("event")) for i, e in numbered])
+        level = posts.groupBy("user_id", "event").agg(activity_level(F.count("*"), F.lit(0)).alias("activity")).join(weight, ["user_id", "event"], "left").na.fill(0.0)
+        out["roles"] = level.select("user_id", "event", "activity", "influence", role(F.col("activity"), F.col("influence")).alias("role"))
+        out["moves"] = transitions(out["roles"], "user_id", "event")
+        names = ["posting_frequency", "content_length_avg", "hashtag_usage", "mention_usage", "url_usage"]
+        out["changes"] = strategy_changes(strategy_features(posts, ["user_id", "event"]), "user_id", "event", names)
+        out["evolution"] = evolution_summary(out["roles"], out["changes"], out["moves"])
+    return out
 
 
 def best_matches(*tables: DataFrame, score: str = "score") -> DataFrame:
@@ -88,7 +185,7 @@ def activity_level(posts: Column, interactions: Column) -> Column:
 
 
 def role(activity: Column, influence: Column) -> Column:
-    return F.when((activity > 0.7) & (influence > 0.7), "leader").when(influence > 0.5, "amplifier").when(activity > 0.5, "participant").when(activity > 0.1, "observer").otherwise("inactive")
+    return F.when((activity > 0.7) & (influence > 0.6), "leader").when((activity > 0.5) & (influence > 0.4), "amplifier").when(activity > 0.3, "participant").when(activity > 0.1, "observer").otherwise("inactive")
 
 
 #: Roles from the least to the greatest.
@@ -138,7 +235,7 @@ def register(add, r6) -> None:
         return u.select(F.col("user_id").alias("u1"), (F.col("user_id") + 1).alias("u2"), F.col("anomaly_score").alias("attribute"))
 
     add("overall_alignment", lambda s, d: r6(overall(pairs(s, d).where("u1 % 2 = 0"), pairs(s, d).where("u1 % 3 = 0").withColumnRenamed("attribute", "behavior"), pairs(s, d).where("u1 % 5 = 0").withColumnRenamed("attribute", "relation"))), "SELECT u1, u2, round(a, 6) AS attribute, round(b, 6) AS behavior, round(r, 6) AS relation, round(0.4 * a + 0.35 * b + 0.25 * r, 6) AS score FROM (SELECT user_id AS u1, user_id + 1 AS u2, CASE WHEN user_id % 2 = 0 THEN anomaly_score ELSE 0 END AS a, CASE WHEN user_id % 3 = 0 THEN anomaly_score ELSE 0 END AS b, CASE WHEN user_id % 5 = 0 THEN anomaly_score ELSE 0 END AS r FROM users WHERE user_id % 2 = 0 OR user_id % 3 = 0 OR user_id % 5 = 0)", A.USERS)
-    add("reuse_score", lambda s, d: r6(pairs(s, d).select("u1", reuse_score(F.col("attribute"), F.col("attribute") * 0.5, F.lit(0.2), F.col("attribute"), F.col("attribute")).alias("score"), match_type(F.col("attribute"), F.col("attribute") * 0.5, F.lit(0.2)).alias("kind"))), "SELECT user_id AS u1, round(least((0.45 * a + 0.35 * a * 0.5 + 0.2 * 0.2) * CASE WHEN a > 0.9 THEN 1.1 ELSE 1 END * CASE WHEN a > 0.95 THEN 1.05 ELSE 1 END, 1), 6) AS score, CASE WHEN a > 0.8 THEN 'attribute' ELSE 'partial' END AS kind FROM (SELECT user_id, anomaly_score AS a FROM users)", A.USERS)
+    add("reuse_score", lambda s, d: r6(pairs(s, d).select("u1", F.floor(F.col("attribute") * 1000).alias("k")).select("u1", (F.col("k") / 1000).alias("a"), ((F.col("k") * 7) % 1000 / 1000).alias("b"), ((F.col("k") * 3) % 1000 / 1000).alias("r"), ((F.col("k") * 11) % 1000 / 1000).alias("n"), ((F.col("k") * 13) % 1000 / 1000).alias("v")).select("u1", (F.round(reuse_score(*map(F.col, "abrnv")) * 1000) / 1000).alias("score"), match_type(*map(F.col, "nvba")).alias("kind"))), "SELECT u1, round(CASE WHEN v > 0.95 THEN least(x * CAST(1.05 AS DOUBLE), 1) ELSE x END * 1000) / 1000 AS score, CASE WHEN n > 0.95 THEN 'same_username' WHEN v > 0.95 THEN 'same_avatar' WHEN b > 0.8 THEN 'behavioral_match' WHEN a > 0.7 THEN 'attribute_match' ELSE 'probable_match' END AS kind FROM (SELECT *, CASE WHEN n > 0.9 THEN least(y * CAST(1.1 AS DOUBLE), 1) ELSE y END AS x FROM (SELECT *, CAST(0.45 AS DOUBLE) * a + CAST(0.35 AS DOUBLE) * b + CAST(0.2 AS DOUBLE) * r AS y FROM (SELECT u1, k / 1000 AS a, k * 7 % 1000 / 1000 AS b, k * 3 % 1000 / 1000 AS r, k * 11 % 1000 / 1000 AS n, k * 13 % 1000 / 1000 AS v FROM (SELECT user_id AS u1, CAST(floor(anomaly_score * 1000) AS BIGINT) AS k FROM users))))", A.USERS)
     add("best_matches", lambda s, d: r6(best_matches(pairs(s, d).withColumnRenamed("attribute", "score"), pairs(s, d).select("u1", "u2", (1 - F.col("attribute")).alias("score")))), "SELECT user_id AS u1, user_id + 1 AS u2, round(greatest(anomaly_score, 1 - anomaly_score), 6) AS score FROM users", A.USERS)
     add("account_assets", lambda s, d: assets(pairs(s, d).where("attribute > 0.7")), None)
     add("influence", lambda s, d: r6(influence(A.purchases(s, d))), "SELECT node, round(n / max(n) OVER (), 6) AS influence FROM (SELECT node, count(*) AS n FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1)", A.purchases_sql())
@@ -147,7 +244,7 @@ def register(add, r6) -> None:
         e = A.activity(s, d).groupBy("user_id", F.weekofyear("posted_at").alias("event")).agg(F.count("*").alias("n"), F.avg("value").alias("v"))
         return e.select("user_id", "event", role(F.col("n") / 20, F.col("v") / 50).alias("role"), (F.col("n") / 20).alias("a"), (F.col("v") / 50).alias("i"))
 
-    base = "e AS (SELECT user_id, week(posted_at) AS event, count(*) / 20 AS a, avg(value) / 50 AS i FROM activity GROUP BY 1, 2), r AS (SELECT *, CASE WHEN a > 0.7 AND i > 0.7 THEN 4 WHEN i > 0.5 THEN 3 WHEN a > 0.5 THEN 2 WHEN a > 0.1 THEN 1 ELSE 0 END AS k FROM e)"
+    base = "e AS (SELECT user_id, week(posted_at) AS event, count(*) / 20 AS a, avg(value) / 50 AS i FROM activity GROUP BY 1, 2), r AS (SELECT *, CASE WHEN a > 0.7 AND i > 0.6 THEN 4 WHEN a > 0.5 AND i > 0.4 THEN 3 WHEN a > 0.3 THEN 2 WHEN a > 0.1 THEN 1 ELSE 0 END AS k FROM e)"
     add("role_transitions", lambda s, d: transitions(roles(s, d), "user_id", "event").select("user_id", F.col("event").cast("long").alias("event"), "kind"), "SELECT user_id, event, CASE WHEN k > b THEN 'promotion' ELSE 'demotion' END AS kind FROM (SELECT *, lag(k) OVER (PARTITION BY user_id ORDER BY event) AS b FROM r) WHERE b <> k", A.ACTIVITY, base)
     add("strategy_changes", lambda s, d: r6(strategy_changes(roles(s, d), "user_id", "event", ["a", "i"]).withColumn("event", F.col("event").cast("long"))), "SELECT user_id, event, feature, round(c, 6) AS change FROM (SELECT user_id, event, 'a' AS feature, a - lag(a) OVER w AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event) UNION ALL SELECT user_id, event, 'i', i - lag(i) OVER w FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event)) WHERE abs(c) > 0.3", A.ACTIVITY, base)
-    add("attribute_alignment", lambda s, d: r6(by_attributes(A.table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"), F.lit(None).cast("string").alias("bio"), F.lit(None).cast("string").alias("avatar_url")).where("user_id <= 20"), A.table(s, d, "supplier").select((F.col("s_suppkey") + 1000).alias("user_id"), F.lower("s_name").alias("username"), F.lit(None).cast("string").alias("bio"), F.lit(None).cast("string").alias("avatar_url")), 0.28)), None)
+    add("attribute_alignment", lambda s, d: r6(by_attributes(A.table(s, d, "supplier").select(F.col("s_suppkey").alias("user_id"), F.col("s_name").alias("username"), F.lit(None).cast("string").alias("bio"), F.lit(None).cast("string").alias("avatar_url")), A.table(s, d, "supplier").select((F.col("s_suppkey") + 1000).alias("user_id"), F.lower("s_name").alias("username"), F.lit(None).cast("string").alias("bio"), F.lit(None).cast("string").alias("avatar_url")), 0.28)), None)

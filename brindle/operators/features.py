@@ -1,5 +1,7 @@
 """Behaviour features of every user at once: times, content, profile. Each function gives one row per user."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,8 +46,10 @@ def autocorrelation(posts: DataFrame, max_lag: int = 168, user: str = "user_id",
     sized = at.groupBy(user).agg((F.max("i") + 1).alias("len"), F.sum("n").alias("total"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     # zeros need no rows: sums over all hours follow from the hours with posts
     lags = sized.select(user, "len", "total", "squares", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_lag), F.col("len").cast("int") - 1))).alias("lag")).where("len > 1")
-    a, b = at.select(user, F.col("i"), F.col("n").alias("x")), at.select(user, F.col("i").alias("j"), F.col("n").alias("y"))
-    products = a.join(b, user).where((F.col("i") > F.col("j")) & (F.col("i") - F.col("j") <= max_lag)).groupBy(user, (F.col("i") - F.col("j")).cast("int").alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
+    # hours meet within a stretch of max_lag and the one before it, not all of a user's hours
+    a = at.select(user, F.col("i"), F.col("n").alias("x"), F.floor(F.col("i") / max_lag).alias("s"))
+    b = at.select(user, F.col("i").alias("j"), F.col("n").alias("y"), F.explode(F.array(F.floor(F.col("i") / max_lag), F.floor(F.col("i") / max_lag) + 1)).alias("s"))
+    products = a.join(b, [user, "s"]).where((F.col("i") > F.col("j")) & (F.col("i") - F.col("j") <= max_lag)).groupBy(user, (F.col("i") - F.col("j")).cast("int").alias("lag")).agg(F.sum(F.col("x") * F.col("y")).alias("xy"))
     # the first len - lag hours and the last len - lag hours
     heads = lags.join(at.select(user, "i", "n"), user).groupBy(user, "lag").agg(
         F.sum(F.when(F.col("i") < F.col("len") - F.col("lag"), F.col("n")).otherwise(0)).alias("head"), F.sum(F.when(F.col("i") >= F.col("lag"), F.col("n")).otherwise(0)).alias("tail")
@@ -108,7 +112,7 @@ def hour_distances(posts: DataFrame, pairs: DataFrame, user: str = "user_id", ti
 
 
 #: What makes a user name look made by a machine.
-USERNAME_PATTERNS = ["^[a-z]+\\d{4,}$", "^user\\d+$", "^\\d+$", "^[a-z]{2,3}\\d{5,}$", "bot|auto|spam"]
+USERNAME_PATTERNS = ["^[a-z]+[0-9]+$", "^[a-z]+_[0-9]+$", "^user[0-9]+$", "^[a-z]{8,12}[0-9]{3,6}$", "^[a-z]+[0-9]{4,}$"]
 
 
 def username_features(users: DataFrame, by: list[str], name: str = "username") -> DataFrame:
@@ -117,7 +121,7 @@ def username_features(users: DataFrame, by: list[str], name: str = "username") -
     hit = F.lit(False)
     for p in USERNAME_PATTERNS:
         hit = hit | F.col(name).rlike(f"(?i){p}")
-    return named.groupBy(*by).agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("pattern_ratio"), F.avg(F.regexp_count(name, F.lit("[0-9]")) / F.length(name)).alias("digit_ratio"))
+    return named.groupBy(*by).agg(F.avg(F.when(hit, 1.0).otherwise(0.0)).alias("pattern_ratio"), F.avg(F.regexp_count(name, F.lit("\\p{Nd}")) / F.length(name)).alias("digit_ratio"))
 
 
 def completeness(*fields: str) -> Column:
@@ -155,10 +159,10 @@ def avatar_pairs(users: DataFrame, key: str, url: str, most: int = 5) -> DataFra
     return one.join(two, ["block", "part"]).where("a < b").select("a", "b", T.hamming(F.col("ha"), F.col("hb")).alias("distance")).where(F.col("distance") <= most).distinct()
 
 
-def tf_idf_similarity(docs: DataFrame, key: str, text: str, group: str, most_terms: int = 1000) -> DataFrame:
+def tf_idf_similarity(docs: DataFrame, key: str, text: str, group: str, most_terms: int = 1000, block: int = 1024) -> DataFrame:
     """Per group: mean, population std and maximum of the pairwise cosines of its texts' TF-IDF vectors.
 
-    idf = ln((1 + n) / (1 + df)) + 1 over the group's commonest terms. Pairs that share no term count as 0 without being made.
+    idf = ln((1 + n) / (1 + df)) + 1 over the group's commonest terms. Texts meet in blocks of about `block`, one pair of blocks a task; only three numbers of each go on.
     """
     words = docs.select(group, key, F.explode(T.tokens(F.lower(text))).alias("w")).groupBy(group, key, "w").agg(F.count("*").alias("tf"))
     sizes = docs.groupBy(group).agg(F.countDistinct(key).alias("n"))
@@ -166,9 +170,31 @@ def tf_idf_similarity(docs: DataFrame, key: str, text: str, group: str, most_ter
     df = df.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("total"), "w"))).where(F.col("r") <= most_terms).join(sizes, group).select(group, "w", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     vec = words.join(df, [group, "w"]).select(group, key, "w", (F.col("tf") * F.col("idf")).alias("v"))
     vec = vec.withColumn("v", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(group, key))))
-    one, two = vec.select(group, "w", F.col(key).alias("a"), F.col("v").alias("x")), vec.select(group, "w", F.col(key).alias("b"), F.col("v").alias("y"))
-    cos = one.join(two, [group, "w"]).where("a < b").groupBy(group, "a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
-    sums = cos.groupBy(group).agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.max("c").alias("m"))
+    places = df.select(group, "w", (F.row_number().over(Window.partitionBy(group).orderBy("w")) - 1).alias("at"))  # at most `most_terms` a group
+    rows = vec.join(places, [group, "w"]).groupBy(group, key).agg(F.collect_list(F.struct("at", "v")).alias("terms"))
+    # every text of a group meets every block of its group, as a matrix product
+    blocks = sizes.select(group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, group).withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("ij", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j"))))).select(group, "ij.i", "ij.j", "own", "terms")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        def dense(own: int) -> np.ndarray:
+            terms = part["terms"][part["own"] == own].tolist()
+            out = np.zeros((len(terms), most_terms))
+            for r, t in enumerate(terms):
+                for x in t:
+                    out[r, x["at"]] = x["v"]
+            return out
+
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        left = dense(i)
+        c = left @ (left if i == j else dense(j)).T
+        c = c[np.triu_indices(len(left), 1)] if i == j else c.ravel()
+        return pd.DataFrame({group: [part[group].iloc[0]], "s": [c.sum()], "ss": [(c * c).sum()], "m": [c.max() if c.size else 0.0]})
+
+    kind = dict(docs.dtypes)[group]
+    cos = met.groupBy(group, "i", "j").applyInPandas(compare, f"{group} {kind}, s double, ss double, m double")
+    sums = cos.groupBy(group).agg(F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.max("m").alias("m"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     mean = F.coalesce("s", F.lit(0.0)) / F.greatest(pairs, F.lit(1.0))
     return sizes.join(sums, group, "left").select(group, mean.alias("similarity_mean"), F.sqrt(F.greatest(F.coalesce("ss", F.lit(0.0)) / F.greatest(pairs, F.lit(1.0)) - mean * mean, F.lit(0.0))).alias("similarity_std"), F.coalesce("m", F.lit(0.0)).alias("similarity_max"))

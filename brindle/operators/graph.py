@@ -156,41 +156,49 @@ def neighbourhood(edges: DataFrame, node, radius: int = 2, undirected: bool = Fa
     return edges.join(near.withColumnRenamed("node", "src"), "src", "left_semi").join(near.withColumnRenamed("node", "dst"), "dst", "left_semi")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node), by each node taking the smallest label around and its label's label until none changes."""
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node and component (its smallest node), by alternating stars: each node hangs its larger neighbours, and then its smaller ones, on the smallest it knows.
+
+    A hub's neighbours are reassigned by a join, never gathered; rounds grow about with the logarithm of the longest chain. A
+    count and a check sum tell when nothing changes.
+    """
+    nodes = nodes_of(edges)
+    star = cut(edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    before = None
+    for _ in range(most_rounds):
+        both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(star.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        moved = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), "m").unionByName(least.select(F.col("u").alias("x"), "m")).where("x <> m").distinct()
+        low = moved.groupBy("x").agg(F.min("m").alias("to"))
+        star = cut(moved.join(low, "x").select("to", F.explode(F.array("m", "x")).alias("y")).where("y <> to").select(F.col("to").alias("a"), F.col("y").alias("b")).distinct())
+        state = star.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError("the components did not settle")
+    return nodes.join(star.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def core_numbers(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """node and core number of the undirected graph without loops.
+
+    Every node's number starts at its degree and becomes, round by round, the largest h such that h of its neighbours have at least
+    h, until none changes: that is its core number. Neighbours are counted by their numbers first, so that a hub has as many rows
+    as there are numbers around it.
+    """
     steps = cut(both_ways(edges))
-    labels = cut(nodes_of(edges).withColumn("component", F.col("node")))
-    while True:
-        around = steps.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("least"))
-        new = labels.join(around, "node", "left").select("node", F.least("component", F.coalesce("least", "component")).alias("component"))
-        jump = new.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = cut(new.join(jump, "component").select("node", F.col("next").alias("component")))
-        if new.join(labels, ["node", "component"], "left_anti").isEmpty():
-            return new
-        labels = new
-
-
-def core_numbers(edges: DataFrame, most: int = 1000) -> DataFrame:
-    """node and core number of the undirected graph without loops: nodes of degree up to k are peeled until none is left."""
-    left = cut(both_ways(edges))
-    done = nodes_of(edges).join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti").select("node", F.lit(0).alias("core"))
-    for k in range(1, most):
-        if left.isEmpty():
-            return done
-        while True:
-            low = left.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("d")).where(F.col("d") <= k).select("node")
-            low = cut(low)
-            if low.isEmpty():
-                break
-            done = done.unionByName(low.select("node", F.lit(k).alias("core")))
-            rest = left.join(low.withColumnRenamed("node", "src"), "src", "left_anti")
-            gone = rest.join(low.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            # a neighbour that loses all its edges here is of this core too
-            after = cut(rest.join(low.withColumnRenamed("node", "dst"), "dst", "left_anti"))
-            bare = gone.select(F.col("src").alias("node")).distinct().join(after.select(F.col("src").alias("node")), "node", "left_anti")
-            done = done.unionByName(bare.select("node", F.lit(k).alias("core")))
-            left = after
-    return done
+    core = cut(steps.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("core")))
+    for _ in range(most_rounds):
+        around = steps.join(core.select(F.col("node").alias("dst"), "core"), "dst").groupBy(F.col("src").alias("node"), "core").agg(F.count("*").alias("n"))
+        above = around.withColumn("many", F.sum("n").over(Window.partitionBy("node").orderBy(F.desc("core")).rowsBetween(Window.unboundedPreceding, 0)))
+        h = above.groupBy("node").agg(F.max(F.least("core", "many")).alias("h"))
+        new = cut(core.join(h, "node").select("node", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("fell")))
+        changed = not new.where("fell").isEmpty()
+        core = new.select("node", "core")
+        if not changed:
+            return nodes_of(edges).join(core, "node", "left").select("node", F.coalesce("core", F.lit(0)).alias("core"))
+    raise RuntimeError("the core numbers did not settle")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -215,8 +223,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the modularity of a labelling of the undirected graph."""
     steps = both_ways(edges).join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
     per = steps.groupBy("a").agg(F.count("*").alias("degree"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
-    total = F.sum("degree").over(Window.partitionBy(F.lit(0)))
-    return per.select((F.col("inside") / total - (F.col("degree") / total) * (F.col("degree") / total)).alias("q")).agg(F.sum("q").alias("modularity"))
+    sums = per.agg(F.sum("degree").alias("total"), F.sum("inside").alias("inside"), F.sum(F.col("degree").cast("double") * F.col("degree")).alias("squares"))
+    return sums.select((F.col("inside") / F.col("total") - F.col("squares") / (F.col("total").cast("double") * F.col("total"))).alias("modularity"))
 
 
 def clustering(edges: DataFrame) -> DataFrame:
@@ -255,9 +263,11 @@ def closeness(edges: DataFrame) -> DataFrame:
     return sums.join(F.broadcast(n)).select("node", F.coalesce(value, F.lit(0.0)).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None) -> DataFrame:
-    """node, betweenness of the directed, unweighted graph: the sources are dealt to tasks, each of which has the adjacency (for graphs that fit in a task; else give fewer `sources` and a smaller graph)."""
-    pairs = edges.where("src <> dst").select("src", "dst").distinct()
+def betweenness(edges: DataFrame, normalized: bool = True, sources: DataFrame | None = None, most_edges: int = 2_000_000) -> DataFrame:
+    """node, betweenness of the directed, unweighted graph: the sources (a sample, if given) are dealt to tasks, each of which has the adjacency. Only for graphs of at most `most_edges` edges, counted first; a larger one is an error."""
+    pairs = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    if (size := pairs.count()) > most_edges:
+        raise ValueError(f"{size} edges are more than a task is to hold; give a part of the graph")
     table = pairs.groupBy("src").agg(F.collect_list("dst").alias("to"))
     adjacency = {r["src"]: r["to"] for r in table.toLocalIterator()}
     every = nodes_of(edges)
@@ -324,42 +334,36 @@ def attribute_groups(edges: DataFrame, attributes: DataFrame, least: int = 2) ->
 
 
 def bridges(edges: DataFrame) -> DataFrame:
-    """src < dst of the bridges of the undirected graph: an edge is one if its ends share no cycle. Each component is walked by one task; components must fit in it."""
-    pairs = both_ways(edges).where("src < dst")
-    keyed = pairs.join(components(edges).withColumnRenamed("node", "src"), "src")
-    kind = dict(edges.dtypes)["src"]
-
-    def walk(part: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(part["src"], part["dst"], strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, []).append(a)
-        seen, low, out = {}, {}, []
-        for root in near:
-            if root in seen:
-                continue
-            seen[root] = low[root] = len(seen)
-            stack = [(root, None, iter(near[root]))]
-            while stack:
-                v, up, rest = stack[-1]
-                for w in rest:
-                    if w == up:
-                        continue
-                    if w in seen:
-                        low[v] = min(low[v], seen[w])
-                    else:
-                        seen[w] = low[w] = len(seen)
-                        stack.append((w, v, iter(near[w])))
-                        break
-                else:
-                    stack.pop()
-                    if up is not None:
-                        low[up] = min(low[up], low[v])
-                        if low[v] > seen[up]:
-                            out.append((min(up, v), max(up, v)))
-        return pd.DataFrame(out, columns=["src", "dst"])
-
-    return keyed.groupBy("component").applyInPandas(walk, f"src {kind}, dst {kind}")
+    """src < dst of the bridges of the undirected graph: an edge is one if its ends share no cycle.
+
+    A breadth-first forest is grown from each component's smallest node. Every edge outside it has a random number of 63 bits; a
+    tree edge lies on no cycle if the numbers of all edges that leave its lower side cancel out under exclusive or, which is
+    right but for a chance of 2**-63 an edge. Numbers go up the tree level by level, all components at once.
+    """
+    pairs = cut(both_ways(edges))
+    seen = cut(components(edges).where("node = component").select("node", F.lit(0).alias("level"), F.lit(None).cast(dict(edges.dtypes)["src"]).alias("parent")))
+    front, depth = seen, 0
+    while True:
+        depth += 1
+        found = front.select(F.col("node").alias("src")).join(pairs, "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
+        front = cut(found.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("level"), "parent"))
+        if front.isEmpty():
+            break
+        seen = cut(seen.unionByName(front))
+    tree = seen.where("parent IS NOT NULL").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
+    other = pairs.where("src < dst").join(tree, ["src", "dst"], "left_anti").withColumn("x", F.xxhash64("src", "dst", F.lit("bridge")))
+    marks = other.select(F.explode(F.array("src", "dst")).alias("node"), "x").groupBy("node").agg(F.bit_xor("x").alias("x"))
+    sums = cut(seen.join(marks, "node", "left").select("node", "level", "parent", F.coalesce("x", F.lit(0)).alias("x")))
+    done = None
+    at = sums.where(F.col("level") == depth - 1)
+    for level in range(depth - 1, 0, -1):
+        here = cut(at.select("node", "parent", "x"))
+        done = here if done is None else done.unionByName(here)
+        up = here.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("more"))
+        at = sums.where(F.col("level") == level - 1).join(up, "node", "left").select("node", "parent", F.col("x").bitwiseXOR(F.coalesce("more", F.lit(0))).alias("x"))
+    if done is None:
+        return tree.limit(0)
+    return done.where("x = 0").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
 
 
 def combined(metrics: dict[str, tuple[DataFrame, float]], k: int = 10) -> DataFrame:

@@ -70,6 +70,76 @@ def token_bucket(requests: DataFrame, key: str, time: str, order: str, rate: flo
     return requests.repartition(key).sortWithinPartitions(key, time, order).mapInPandas(run, schema)
 
 
+def detection_rate(events: DataFrame, detected: Column) -> DataFrame:
+    """One row: the share of events that were detected, in percent; none: 0."""
+    return events.agg(F.coalesce(F.avg(F.when(detected, 1.0).otherwise(0.0)) * 100, F.lit(0.0)).alias("anomaly_detection_rate"))
+
+
+def proxy_weight(quality: Column, success: Column, latency: Column) -> Column:
+    return 0.4 * quality + 0.4 * success + 0.2 / (1 + latency)
+
+
+def proxy_stats(proxies: DataFrame) -> DataFrame:
+    """One row over (is_healthy, quality_score, success_rate, country): counts, means and the countries, sorted."""
+    return proxies.agg(F.count("*").alias("total"), F.count_if("is_healthy").alias("healthy"), F.count_if(~F.col("is_healthy")).alias("unhealthy"), F.coalesce(F.avg("quality_score"), F.lit(0.0)).alias("avg_quality"), F.coalesce(F.avg("success_rate"), F.lit(0.0)).alias("avg_success_rate"), F.sort_array(F.collect_set(F.nullif("country", F.lit("")))).alias("countries"))
+
+
+def multi_bucket(requests: DataFrame, key: str, time: str, order: str, levels: list[tuple[float, float]], cost: float = 1.0) -> DataFrame:
+    """requests with `allowed`: every level's bucket (rate, capacity) must pass, in order; those before the one that refuses keep their spend."""
+    from pyspark.sql.types import BooleanType, StructType
+
+    schema = StructType([*requests.schema.fields]).add("allowed", BooleanType())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, left, at = object(), [], None
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b[time], strict=True):
+                if k != last:
+                    last, left, at = k, [c for _, c in levels], t
+                gap, at = max((t - at).total_seconds(), 0), t
+                left = [min(c, x + gap * r) for x, (r, c) in zip(left, levels, strict=True)]
+                for i, x in enumerate(left):
+                    if x < cost:
+                        out.append(False)
+                        break
+                    left[i] = x - cost
+                else:
+                    out.append(True)
+            yield b.assign(allowed=out)
+
+    return requests.repartition(key).sortWithinPartitions(key, time, order).mapInPandas(run, schema)
+
+
+class Registry:
+    """Named one-row metrics: each is a function that gives a DataFrame with the column value."""
+
+    def __init__(self):
+        self.collectors: dict[str, tuple] = {}
+
+    def register(self, name: str, collector, description: str = "", unit: str = "") -> None:
+        """Replaces a metric of the same name."""
+        self.collectors[name] = (collector, description, unit)
+
+    def collect(self) -> DataFrame:
+        """name, value, description and unit of all metrics, in the order of names."""
+        rows = [c().select(F.lit(n).alias("name"), F.col("value").cast("double").alias("value"), F.lit(d).alias("description"), F.lit(u).alias("unit")) for n, (c, d, u) in sorted(self.collectors.items())]
+        if not rows:
+            raise ValueError("no metric is registered")
+        out = rows[0]
+        for r in rows[1:]:
+            out = out.unionByName(r)
+        return out
+
+    def export_prometheus(self) -> str:
+        """The text exposition of all metrics, one row each."""
+        return "\n".join(r["line"] for r in self.collect().orderBy("name").select(prometheus(F.col("name"), F.col("value"), F.col("description")).alias("line")).collect()) + "\n"
+
+    def export_json(self) -> str:
+        """All metrics as a JSON list, one row each."""
+        return "[" + ",".join(r["j"] for r in self.collect().orderBy("name").select(F.to_json(F.struct("*")).alias("j")).collect()) + "]"
+
+
 def register(add, r6) -> None:
     act = A.activity
     add("alert_islands", lambda s, d: alerts(act(s, d), ["user_id"], "posted_at", "value", ">", 40.0, 3600.0), "SELECT user_id, start, min(t) FILTER (epoch_us(t) - epoch_us(start) >= 3600000000) AS fired_at, max(t) AS \"end\" FROM (SELECT user_id, g, posted_at AS t, min(posted_at) OVER (PARTITION BY user_id, g) AS start FROM (SELECT *, sum(CASE WHEN value > 40 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY posted_at ROWS UNBOUNDED PRECEDING) AS g FROM activity) WHERE value > 40) GROUP BY user_id, g, start HAVING count(*) FILTER (epoch_us(t) - epoch_us(start) >= 3600000000) > 0", A.ACTIVITY)

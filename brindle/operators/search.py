@@ -68,7 +68,8 @@ def index_statistics(index: DataFrame, key: str = "post_id") -> DataFrame:
 
 
 def best(scored: DataFrame, k: int, key: str = "post_id") -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), key))).where(F.col("rank") <= k)
+    top = scored.orderBy(F.desc("score"), key).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
 
 
 TOKENS = r"""tok AS (SELECT post_id, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(lower(content), '(?:https?://|www\.)[^\s<>"'']+', ' ', 'g'), '[@#][\p{L}\p{N}_]+', ' ', 'g'), '[^\p{L}\p{N}_\s]+', ' ', 'g'), '\s+'), lambda x: x <> '')) AS term FROM texts)"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import anomaly, crossevent, evidence, features, graph, monitoring, relational, reports, search
 from brindle.sources import adapters as A
+from brindle.plans import more
 from brindle.sources import parsers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,11 +136,11 @@ def _hours(s: SparkSession, d: str) -> DataFrame:
 
 HOURS = "p AS (SELECT user_id, hour(posted_at) AS h, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM activity GROUP BY 1, 2), ids AS (SELECT DISTINCT user_id FROM p), grid AS (SELECT x.user_id AS a, y.user_id AS b, h FROM ids x JOIN ids y ON y.user_id = x.user_id + 1, range(24) t(h)), q AS (SELECT a, b, h, coalesce(l.p, 0) AS l, coalesce(r.p, 0) AS r FROM grid LEFT JOIN p l USING (h) LEFT JOIN p r USING (h) WHERE FALSE)"
 add("hour_js_similarity", lambda s, d: r6(_hours(s, d)), "SELECT a, b, round(1 - sqrt(greatest(sum(CASE WHEN l > 0 THEN l * ln(2 * l / (l + r)) ELSE 0 END + CASE WHEN r > 0 THEN r * ln(2 * r / (l + r)) ELSE 0 END) / 2, 0)), 6) AS similarity FROM (SELECT a, b, g.h, coalesce((SELECT p FROM p WHERE user_id = a AND p.h = g.h), 0) AS l, coalesce((SELECT p FROM p WHERE user_id = b AND p.h = g.h), 0) AS r FROM grid g) GROUP BY 1, 2", A.ACTIVITY, HOURS.split(", q AS")[0])
-add("username_features", lambda s, d: r6(features.username_features(A.users(s, d), ["platform"])), "SELECT platform, round(avg(CASE WHEN regexp_matches(username, '(?i)^[a-z]+[0-9]{4,}$|^user[0-9]+$|^[0-9]+$|^[a-z]{2,3}[0-9]{5,}$|bot|auto|spam') THEN 1.0 ELSE 0 END), 6) AS pattern_ratio, round(avg(length(regexp_replace(username, '[^0-9]', '', 'g')) / length(username)), 6) AS digit_ratio FROM users GROUP BY 1", A.USERS)
+add("username_features", lambda s, d: r6(features.username_features(A.users(s, d), ["platform"])), "SELECT platform, round(avg(CASE WHEN regexp_matches(username, '(?i)^[a-z]+[0-9]+$|^[a-z]+_[0-9]+$|^user[0-9]+$|^[a-z]{8,12}[0-9]{3,6}$|^[a-z]+[0-9]{4,}$') THEN 1.0 ELSE 0 END), 6) AS pattern_ratio, round(avg(length(regexp_replace(username, '[^0-9]', '', 'g')) / length(username)), 6) AS digit_ratio FROM users GROUP BY 1", A.USERS)
 add("profile_completeness", lambda s, d: r6(A.users(s, d).select("user_id", features.completeness("username", "display_name", "bio", "platform", "followers_count").alias("completeness"))), "SELECT user_id, round((4 + CASE WHEN trim(coalesce(bio, '')) <> '' THEN 1 ELSE 0 END) / 5, 6) AS completeness FROM users", A.USERS)
 add("registration_regularity", lambda s, d: r6(features.registration_regularity(A.posts(s, d), ["platform"], "posted_at")))
 add("avatar_pairs", lambda s, d: features.avatar_pairs(A.table(s, d, "pages").select("page_id", F.regexp_replace("url", "[0-9]+", "").alias("u")), "page_id", "u").select("a", "b", F.col("distance").cast("long").alias("distance")), "SELECT a, b, n AS distance FROM (SELECT x.page_id AS a, y.page_id AS b, (SELECT count(*) FROM range(1, 33) t(i) WHERE substr(x.h, i, 1) <> substr(y.h, i, 1)) AS n FROM u x JOIN u y ON x.page_id < y.page_id) WHERE n <= 5", "u AS (SELECT page_id, md5(regexp_replace(url, '[0-9]+', '', 'g')) AS h FROM pages)")
-add("tf_idf_similarity", lambda s, d: r6(features.tf_idf_similarity(A.texts(s, d).where("length(content) < 1500"), "post_id", "content", "user_id")))
+add("tf_idf_similarity", lambda s, d: r6(features.tf_idf_similarity(A.texts(s, d), "post_id", "content", "user_id")))
 
 # ---- anomalies
 DAILY = "daily AS (SELECT platform, CAST(posted_at AS DATE) AS day, CAST(count(*) AS DOUBLE) AS n FROM activity GROUP BY 1, 2)"
@@ -175,13 +176,13 @@ def _ensemble(s: SparkSession, d: str) -> DataFrame:
 
 
 add("ensemble_detector", _ensemble, "SELECT user_id, round(anomaly_score * 0.75 + followers_count / 10000.0 * 0.25, 6) AS score, anomaly_score * 0.75 + followers_count / 10000.0 * 0.25 > 0.5 AS is_anomaly FROM users", A.USERS)
-add("anomaly_class", lambda s, d: A.table(s, d, "embeddings").select("vec_id", anomaly.anomaly_class(F.transform(F.slice("embedding", 1, 5), lambda x: x * 20)).alias("kind")), "SELECT vec_id, CASE WHEN embedding[1] * 20 > 3 THEN 'volume' WHEN embedding[2] * 20 > 3 THEN 'content' WHEN embedding[3] * 20 > 3 THEN 'network' ELSE 'general' END AS kind FROM embeddings")
+add("anomaly_class", lambda s, d: A.table(s, d, "embeddings").select("vec_id", anomaly.anomaly_class(F.transform(F.slice("embedding", 1, 5), lambda x: x * 20)).alias("kind")), "SELECT vec_id, CASE WHEN embedding[1] * 20 > 3 THEN 'viral_content' WHEN embedding[2] * 20 > 3 THEN 'rapid_spread' WHEN embedding[3] * 20 > 3 THEN 'unusual_engagement' ELSE 'behavioral_anomaly' END AS kind FROM embeddings")
 
 # ---- text
 add("text_features", lambda s, d: r6(A.texts(s, d).select("post_id", *(c.alias(n) for n, c in T.features(F.col("content")).items()))), "SELECT post_id, CAST(len(list_filter(regexp_split_to_array(content, '[ \\t\\n\\r\\f\\v]+'), lambda x: x <> '')) AS BIGINT) AS word_count, length(content) AS char_count, CAST(len(regexp_extract_all(content, '#[\\p{L}\\p{N}_]+')) AS BIGINT) AS hashtag_count, CAST(len(regexp_extract_all(content, '@[\\p{L}\\p{N}_]+')) AS BIGINT) AS mention_count, CAST(len(regexp_extract_all(content, '(?:https?://|www\\.)[^\\s<>\"'']+')) AS BIGINT) AS url_count, CAST(len(regexp_extract_all(content, '!')) AS BIGINT) AS exclamation_count, CAST(len(regexp_extract_all(content, '[?]')) AS BIGINT) AS question_count, round(len(regexp_extract_all(content, '\\p{Lu}')) / greatest(length(content), 1), 6) AS uppercase_ratio FROM texts", A.TEXTS)
-add("script_language", lambda s, d: A.texts(s, d).select("post_id", T.script_language(F.col("content")).alias("script")), "SELECT post_id, CASE WHEN len(regexp_extract_all(content, '[\\x{4e00}-\\x{9fff}]')) / n > 0.3 THEN 'zh' WHEN len(regexp_extract_all(content, '[A-Za-z]')) / n > 0.5 THEN 'en' ELSE 'other' END AS script FROM (SELECT *, greatest(length(replace(content, ' ', '')), 1) AS n FROM texts)", A.TEXTS)
+add("script_language", lambda s, d: A.texts(s, d).select("post_id", T.script_language(F.col("content")).alias("script")), "SELECT post_id, CASE WHEN len(regexp_extract_all(content, '[\\x{4e00}-\\x{9fff}]')) / n > 0.3 THEN 'zh' WHEN len(regexp_extract_all(content, '[A-Za-z]')) / n > 0.5 THEN 'en' WHEN n > 0 THEN 'other' END AS script FROM (SELECT *, nullif(length(replace(content, ' ', '')), 0) AS n FROM texts)", A.TEXTS)
 add("mentions", lambda s, d: A.texts(s, d).select("post_id", F.array_join(T.mentions(F.col("content")), ",").alias("mentions")), "SELECT post_id, coalesce(array_to_string(regexp_extract_all(content, '@([\\p{L}\\p{N}_]+)', 1), ','), '') AS mentions FROM texts", A.TEXTS)
-add("normalize_url", lambda s, d: A.table(s, d, "pages").select("page_id", T.normalize_url(F.col("url")).alias("url")), "SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://([^/?#]*)', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(u, '^[A-Za-z]+://[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS url FROM (SELECT page_id, CASE WHEN regexp_matches(url, '(?i)^https?://') THEN url ELSE 'https://' || url END AS u FROM pages)")
+add("normalize_url", lambda s, d: A.table(s, d, "pages").select("page_id", T.normalize_url(F.col("url")).alias("url")), "SELECT page_id, lower(regexp_extract(u, '^([A-Za-z]+)://([^/?#]*)', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z]+://([^/?#]*)', 1)) || coalesce(nullif(regexp_replace(regexp_extract(u, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', ''), ''), '/') || regexp_extract(u, '^[A-Za-z]+://[^/?#]*[^?#]*(\\?[^#]*)?', 1) AS url FROM (SELECT page_id, CASE WHEN regexp_matches(trim(url), '^https?://') THEN trim(url) ELSE 'https://' || trim(url) END AS u FROM pages)")
 add("lexicon_sentiment", lambda s, d: r6(A.texts(s, d).select("post_id", T.lexicon(T.tokens(F.col("content")), ["the", "les", "der"], ["that", "des", "die"]).alias("x")).select("post_id", "x.score", "x.label")), "SELECT post_id, round(s, 6) AS score, CASE WHEN s > 0.1 THEN 'positive' WHEN s < -0.1 THEN 'negative' ELSE 'neutral' END AS label FROM (SELECT post_id, (p - n) / greatest(p + n, 1) AS s FROM (SELECT post_id, len(list_filter(w, lambda x: lower(x) IN ('the', 'les', 'der'))) AS p, len(list_filter(w, lambda x: lower(x) IN ('that', 'des', 'die'))) AS n FROM (SELECT post_id, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(content, '(?:https?://|www\\.)[^\\s<>\"'']+', ' ', 'g'), '[@#][\\p{L}\\p{N}_]+', ' ', 'g'), '[^\\p{L}\\p{N}_\\s]+', ' ', 'g'), '\\s+') AS w FROM texts)))", A.TEXTS)
 add("word_jaccard", lambda s, d: r6(A.table(s, d, "part").select("p_partkey", T.jaccard(T.word_set(F.col("p_name")), T.word_set(F.col("p_type"))).alias("similarity"))), "SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM (SELECT p_partkey, list_distinct(string_split(lower(trim(p_name)), ' ')) AS a, list_distinct(string_split(lower(trim(p_type)), ' ')) AS b FROM part)")
 add("url_hamming", lambda s, d: A.table(s, d, "pages").select("page_id", T.hamming(F.md5("url"), F.md5("html")).cast("long").alias("distance")), "SELECT page_id, (SELECT count(*) FROM range(1, 33) t(i) WHERE substr(md5(url), i, 1) <> substr(md5(html), i, 1)) AS distance FROM pages")
@@ -211,13 +212,23 @@ REGIONS = "att AS (SELECT CAST(n_nationkey AS BIGINT) AS node, CAST(n_regionkey
 add("attribute_clustering", lambda s, d: r6(graph.attribute_groups(A.nation_graph(s, d), _regions(s, d))), "SELECT value, size, internal, external, round(internal / (size * (size - 1)), 6) AS density, round(internal / (internal + external), 6) AS homophily FROM (SELECT value, count(*) AS size FROM att GROUP BY 1) JOIN (SELECT a.value, count(*) FILTER (a.value = b.value) AS internal, count(*) FILTER (a.value <> b.value) AS external FROM edges JOIN att a ON src = a.node JOIN att b ON dst = b.node GROUP BY 1) USING (value)", A.NATION_GRAPH, REGIONS)
 add("attribute_mixing", lambda s, d: r6(graph.mixing(A.nation_graph(s, d), _regions(s, d))), "SELECT round((same / t - ab / (t * t)) / (1 - ab / (t * t)), 6) AS assortativity FROM (SELECT sum(n) AS t, sum(n) FILTER (a = b) AS same FROM m), (SELECT sum(x.n * y.n) AS ab FROM (SELECT a, sum(n) AS n FROM m GROUP BY 1) x JOIN (SELECT b, sum(n) AS n FROM m GROUP BY 1) y ON a = b)", A.NATION_GRAPH, REGIONS, "m AS (SELECT p.value AS a, q.value AS b, count(*) AS n FROM edges JOIN att p ON src = p.node JOIN att q ON dst = q.node GROUP BY 1, 2)")
 add("relations", lambda s, d: graph.relations(A.purchases(s, d), "c7", direction="both"), "SELECT * FROM edges WHERE src = 'c7' OR dst = 'c7'", A.purchases_sql())
-add("components", lambda s, d: graph.components(A.purchases(s, d, 3)), "SELECT node, min(other) AS component FROM r GROUP BY 1", "RECURSIVE " + A.purchases_sql(3) + ", u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT DISTINCT a AS node, a AS other FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.other = u.a)")
-add("label_propagation", lambda s, d: graph.label_propagation(A.nation_graph(s, d), 3))
-add("core_numbers", lambda s, d: graph.core_numbers(A.purchases(s, d, 2)))
+
+
+def labelled_sql(rounds: int, body: str) -> str:
+    """Views l0 to l<rounds>, each made from the one before by `body` ({p} is the one before); u has both directions of the edges."""
+    views = ["u AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)", "l0 AS (SELECT DISTINCT a AS node, a AS label FROM u)"]
+    return ", ".join(views + [f"l{i + 1} AS MATERIALIZED ({body.format(p=f'l{i}')})" for i in range(rounds)])
+
+
+LEAST = "SELECT x.node, least(min(x.label), min(y.label)) AS label FROM {p} x JOIN u ON u.a = x.node JOIN {p} y ON y.node = u.b GROUP BY 1"
+COMMON = "SELECT node, label FROM (SELECT u.a AS node, y.label, row_number() OVER (PARTITION BY u.a ORDER BY count(*) DESC, y.label) AS r FROM u JOIN {p} y ON y.node = u.b GROUP BY 1, 2) WHERE r = 1"
+add("components", lambda s, d: graph.components(A.purchases(s, d)), "SELECT node, label AS component FROM l16", A.purchases_sql(), labelled_sql(16, LEAST))
+add("label_propagation", lambda s, d: graph.label_propagation(A.purchases(s, d), 3), "SELECT node, label FROM l3", A.purchases_sql(), labelled_sql(3, COMMON))
+add("core_numbers", lambda s, d: graph.core_numbers(A.purchases(s, d)))
 add("betweenness", lambda s, d: r6(graph.betweenness(A.nation_graph(s, d))))
 add("eigenvector", lambda s, d: r6(graph.eigenvector(A.nation_graph(s, d), 60)))
-add("bridges", lambda s, d: graph.bridges(A.purchases(s, d, 3)))
+add("bridges", lambda s, d: graph.bridges(A.purchases(s, d)))
 add("propagation_speed", lambda s, d: r6(graph.propagation_speed(A.activity(s, d), "posted_at")), "SELECT round(avg(s), 6) AS mean, round(max(s), 6) AS max, round(min(s), 6) AS min, round(quantile_cont(s, 0.5), 6) AS median, round(stddev_pop(s), 6) AS std FROM (SELECT 1e6 / (epoch_us(t) - lag(epoch_us(t)) OVER (ORDER BY t)) AS s FROM (SELECT DISTINCT posted_at AS t FROM activity)) WHERE s IS NOT NULL", A.ACTIVITY)
 
-for module in (parsers, crossevent, evidence, monitoring, search):
+for module in (parsers, crossevent, evidence, monitoring, search, more):
     module.register(add, r6)

@@ -43,6 +43,54 @@ def tweets(raw: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+TWITTER_USER = "id string, username string, name string, description string, profile_image_url string, created_at string, verified boolean, public_metrics struct<followers_count: bigint, following_count: bigint, tweet_count: bigint>"
+WEIBO_USER = """id string, screen_name string, name string, description string, bio string, avatar_hd string, avatar_large string, profile_image_url string, created_at string,
+ followers_count bigint, followers bigint, follow_count bigint, friends bigint, statuses_count bigint, statuses bigint, verified boolean"""
+WEIBO_COMMENTS = "data array<struct<id: string, user: struct<id: string>, status: struct<id: string>, created_at: string, text: string>>, comments array<struct<id: string, user: struct<id: string>, status: struct<id: string>, created_at: string, text: string>>"
+REDDIT_USER = "data struct<name: string, subreddit: struct<title: string, public_description: string>, icon_img: string, snoovatar_img: string, created_utc: double, link_karma: bigint, comment_karma: bigint, verified: boolean>"
+TELEGRAM_USER = "id bigint, username string, first_name string, last_name string, about string, verified boolean"
+
+
+def _user(platform: str, rows: DataFrame, **columns: Column) -> DataFrame:
+    """Flat users; what a platform doesn't tell is null, a missing count 0, and unverified."""
+    text = lambda c: columns.get(c, F.lit(None).cast("string")).alias(c)
+    count = lambda c: F.coalesce(columns.get(c, F.lit(0)), F.lit(0)).cast("long").alias(c)
+    when = columns.get("created_at", F.lit(None).cast("timestamp")).alias("created_at")
+    return rows.select(columns["user_id"].alias("user_id"), F.lit(platform).alias("platform"), text("username"), text("display_name"), text("bio"), text("avatar_url"), when, count("followers_count"), count("friends_count"), count("posts_count"), F.coalesce("verified", F.lit(False)).alias("verified"))
+
+
+def twitter_users(raw: DataFrame, column: str = "value") -> DataFrame:
+    m = lambda f: F.col(f"public_metrics.{f}")
+    return _user("twitter", parsed(raw, TWITTER_USER, column).where("id IS NOT NULL"), user_id=F.col("id"), username=F.col("username"), display_name=F.col("name"), bio=F.col("description"), avatar_url=F.col("profile_image_url"), created_at=F.try_to_timestamp("created_at"), followers_count=m("followers_count"), friends_count=m("following_count"), posts_count=m("tweet_count"))
+
+
+def weibo_users(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Users by their first known key of each kind; one without id is left out."""
+    u = parsed(raw, WEIBO_USER, column).where("coalesce(id, '') <> ''")
+    name, blank = F.coalesce("screen_name", "name", F.lit("")), F.lit("")
+    return _user("weibo", u, user_id=F.col("id"), username=name, display_name=name, bio=F.coalesce("description", "bio", blank), avatar_url=F.coalesce("avatar_hd", "avatar_large", "profile_image_url", blank), created_at=weibo_time(F.col("created_at")), followers_count=F.coalesce("followers_count", "followers"), friends_count=F.coalesce("follow_count", "friends"), posts_count=F.coalesce("statuses_count", "statuses"))
+
+
+def weibo_comments(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Comments of a payload's data or comments list as interactions; one without id is left out."""
+    c = parsed(raw, WEIBO_COMMENTS, column).select(F.explode(F.coalesce("data", "comments")).alias("c")).select("c.*").where("coalesce(id, '') <> ''")
+    return c.select(F.concat(F.lit("weibo_comment_"), "id").alias("interaction_id"), F.lit("comment").alias("type"), F.coalesce("user.id", F.lit("")).alias("user_id"), F.coalesce("status.id", F.lit("")).alias("post_id"), weibo_time(F.col("created_at")).alias("posted_at"), F.trim(F.regexp_replace("text", "<[^>]+>", "")).alias("content"))
+
+
+def reddit_users(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Users named by their handle; posts_count is their karma for links and comments."""
+    u = parsed(raw, REDDIT_USER, column).select("data.*").where("name IS NOT NULL")
+    karma = F.coalesce("link_karma", F.lit(0)) + F.coalesce("comment_karma", F.lit(0))
+    return _user("reddit", u, user_id=F.col("name"), username=F.col("name"), display_name=F.col("subreddit.title"), bio=F.col("subreddit.public_description"), avatar_url=F.coalesce(F.nullif("icon_img", F.lit("")), "snoovatar_img"), created_at=F.timestamp_seconds("created_utc"), posts_count=karma)
+
+
+def telegram_users(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Users; the shown name is first and last name."""
+    u = parsed(raw, TELEGRAM_USER, column).where("id IS NOT NULL")
+    shown = F.nullif(F.trim(F.concat_ws(" ", "first_name", F.nullif("last_name", F.lit("")))), F.lit(""))
+    return _user("telegram", u, user_id=F.col("id").cast("string"), username=F.col("username"), display_name=shown, bio=F.col("about"))
+
+
 def weibo_time(text: Column) -> Column:
     """Of the usual forms; the weekday in front is dropped, as Spark can't parse it; else null."""
     bare = F.regexp_replace(text, "^[A-Za-z]{3} ", "")
