@@ -80,6 +80,8 @@ def promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 def similar_lines(pairs: DataFrame, lines: DataFrame, percent: int, k: int) -> DataFrame:
     """The pairs (a, b) of line ids whose shingle sets have a Jaccard similarity of at least `percent` in 100."""
     pairs = common.stored(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = common.stored(pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "ends")
     texts = common.stored(lines.select("lid", "norm").join(ends, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")), "texts")
     side = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias("t" + c))
@@ -172,5 +174,10 @@ def deduplicate(docs: DataFrame, **options: int | bool) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the number of its lines, how many go as repeats of earlier ones, and the digest of what stays.
+
+    A null text has one empty line and a null digest, null ids come first, repeated rows lose the same lines, and an empty table gives
+    no rows. Other columns are not read.
+    """
     done = deduplicate(common.table(spark, sf_dir, "documents").select("doc_id", "text"), short=True)
     return done.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

@@ -168,6 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document. A null or empty text is one piece of one id, a null id stays null, each of repeated rows has pieces of its own, and an empty table gives no rows. Other columns are not read."""
     import public_tokenizers
 
     return pack(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -209,4 +209,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", folds:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by a model learnt from the labelled rows outside the fold. A null or empty text has a score too, a null id falls in the fold of empty text, each of repeated rows is scored, an empty table gives no rows, and no labels give 0.5."""
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
