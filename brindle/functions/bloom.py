@@ -23,7 +23,7 @@ class BloomFilter:
     def _places(self, item: str) -> np.ndarray:
         d = hashlib.blake2b(item.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         one, two = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | 1
-        return np.array([(one + i * two) % self.size for i in range(self.hashes)])
+        return np.array([(one + i * two + i**3) % self.size for i in range(self.hashes)])  # the cube keeps steps apart where `two` and the size share factors
 
     def add(self, item: str) -> None:
         p = self._places(item)

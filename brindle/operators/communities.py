@@ -47,7 +47,7 @@ def _local_moves(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
     return labels if better else start
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, most_levels: int = 5) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, most_levels: int = 3) -> DataFrame:
     """node, community (its smallest node): moves of single nodes, then of the communities as nodes of a smaller graph, until modularity stops growing.
 
     Weights of both directions count; a greater resolution gives smaller communities. Only sums come to the driver. No edges:

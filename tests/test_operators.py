@@ -122,7 +122,7 @@ def test_token_bucket(spark):
 
 def test_evidence_kinds(spark):
     df = spark.createDataFrame([("sentiment_mean",), ("avatar_similarity_count",), ("pagerank",), ("other",)], "f string")
-    assert [r[0] for r in df.select(evidence.kind_of(F.col("f"))).collect()] == ["temporal", "content", "network", "behavior"]
+    assert [r[0] for r in df.select(evidence.kind_of(F.col("f"))).collect()] == ["temporal", "content", "network", "behavioral"]
 
 
 def test_snapshots(spark):
