@@ -20,19 +20,27 @@ class BloomFilter:
         self.bits = np.zeros(-(-self.size // 8), dtype=np.uint8)
         self.added = 0
 
-    def _places(self, item: str) -> np.ndarray:
-        d = hashlib.blake2b(item.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        one, two = int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little") | 1
-        return np.array([(one + i * two + i**3) % self.size for i in range(self.hashes)])  # the cube keeps steps apart where `two` and the size share factors
+    def _places(self, items: list[str]) -> np.ndarray:
+        """Of each item a row of its bits; the cube keeps steps apart where the step and the size share factors."""
+        digests = b"".join(hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in items)
+        one, two = (np.frombuffer(digests, dtype="<u8").reshape(-1, 2) % np.uint64(self.size)).astype(np.int64).T
+        i = np.arange(self.hashes)
+        return (one[:, None] + i * two[:, None] + i**3) % self.size
+
+    def add_all(self, items: list[str]) -> None:
+        p = self._places(items).ravel()
+        np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
+        self.added += len(items)
 
     def add(self, item: str) -> None:
-        p = self._places(item)
-        np.bitwise_or.at(self.bits, p >> 3, (1 << (p & 7)).astype(np.uint8))
-        self.added += 1
+        self.add_all([item])
+
+    def have(self, items: list[str]) -> np.ndarray:
+        p = self._places(items)
+        return (self.bits[p >> 3] >> (p & 7) & 1).all(axis=1)
 
     def __contains__(self, item: str) -> bool:
-        p = self._places(item)
-        return bool((self.bits[p >> 3] >> (p & 7) & 1).all())
+        return bool(self.have([item])[0])
 
     def union(self, other: "BloomFilter") -> "BloomFilter":
         if (self.size, self.hashes) != (other.size, other.hashes):
@@ -63,8 +71,7 @@ class BloomFilter:
         def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = cls(capacity, error)
             for b in batches:
-                for x in b[column].dropna():
-                    own.add(str(x))
+                own.add_all([str(x) for x in b[column].dropna()])
             yield pd.DataFrame({"bits": [own.bits.tobytes()], "added": [own.added]})
 
         for row in df.select(column).mapInPandas(build, "bits binary, added long").toLocalIterator():
@@ -78,7 +85,8 @@ class BloomFilter:
 
         @F.pandas_udf("boolean")
         def test(x: pd.Series) -> pd.Series:
-            return x.map(lambda v: None if v is None else str(v) in own)
+            known = x.notna()
+            return pd.Series(own.have([str(v) for v in x[known]]), index=x.index[known], dtype=object).reindex(x.index)
 
         return test(column)
 
