@@ -125,7 +125,7 @@ add("response_delay", lambda s, d: r6(_delays(s, d)), "SELECT user_id, round(avg
 add("sentiment_stats", lambda s, d: r6(features.sentiment_stats(A.posts(s, d).where("sentiment_score IS NOT NULL").withColumn("label", F.when(F.col("sentiment_score") > 0.1, "positive").when(F.col("sentiment_score") < -0.1, "negative").otherwise("neutral")), score="sentiment_score")), "SELECT user_id, round(sum(s) / sum(n), 6) AS sentiment_mean, round(sqrt(greatest(sum(ss) / sum(n) - (sum(s) / sum(n)) ** 2, 0)), 6) AS sentiment_std, round(max(n) / sum(n), 6) AS consistency FROM (SELECT user_id, CASE WHEN sentiment_score > 0.1 THEN 1 WHEN sentiment_score < -0.1 THEN -1 ELSE 0 END AS label, count(*) AS n, sum(sentiment_score) AS s, sum(sentiment_score ** 2) AS ss FROM posts WHERE sentiment_score IS NOT NULL GROUP BY 1, 2) GROUP BY 1", A.POSTS)
 WORDS = "words AS (SELECT user_id, unnest(regexp_split_to_array(lower(content), '[ \\t\\n\\r\\f\\v]+')) AS w FROM texts)"
 add("word_topics", lambda s, d: r6(features.word_topics(A.texts(s, d), STOP)), "SELECT user_id, round(-sum(p * log2(p + 1e-10)), 6) AS topic_entropy, round(max(p), 6) AS top_share FROM (SELECT user_id, count(*) / sum(count(*)) OVER (PARTITION BY user_id) AS p FROM words WHERE length(w) > 2 AND w NOT IN ('the', 'and', 'that', 'this') GROUP BY user_id, w) GROUP BY 1", A.TEXTS, WORDS)
-add("text_style", lambda s, d: r6(features.text_style(A.texts(s, d)).drop("emoji")), "SELECT user_id, round(avg(length(content)), 6) AS avg_length, round(sum(len(regexp_extract_all(content, '!'))) / greatest(sum(length(content)), 1), 6) AS exclamation, round(sum(len(regexp_extract_all(content, '[?]'))) / greatest(sum(length(content)), 1), 6) AS question, round(sum(len(regexp_extract_all(content, '\\p{Lu}'))) / greatest(sum(length(content)), 1), 6) AS uppercase FROM texts GROUP BY 1", A.TEXTS)
+add("text_style", lambda s, d: r6(features.text_style(A.texts(s, d))), "SELECT user_id, round(avg(length(content)), 6) AS avg_length, round(sum(len(regexp_extract_all(content, '!'))) / greatest(sum(length(content)), 1), 6) AS exclamation, round(sum(len(regexp_extract_all(content, '[?]'))) / greatest(sum(length(content)), 1), 6) AS question, round(sum(len(regexp_extract_all(content, '\\p{Lu}'))) / greatest(sum(length(content)), 1), 6) AS uppercase, round(sum(len(regexp_extract_all(content, '[\\x{1F600}-\\x{1F64F}\\x{1F300}-\\x{1F5FF}\\x{1F680}-\\x{1F6FF}\\x{1F1E0}-\\x{1F1FF}\\x{2702}-\\x{27B0}\\x{24C2}-\\x{1F251}]+'))) / greatest(sum(length(content)), 1), 6) AS emoji FROM texts GROUP BY 1", A.TEXTS)
 
 
 def _hours(s: SparkSession, d: str) -> DataFrame:
