@@ -61,29 +61,29 @@ def normal_lines(text: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, host: str) -> DataFrame:
-    """_did, _text and _dk (which tells texts apart) and _hk (hosts); a null id is the least, a null text empty, null hosts are one."""
+    """row (all columns, so that no name clashes), did, text, dk (which tells texts apart) and hk (hosts); a null id is the least, a null text empty, null hosts are one."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_text", text)
-    return keyed.withColumn("_dk", F.xxhash64("_text", F.length("_text"))).withColumn("_hk", F.xxhash64(F.col(host).cast("string")))
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("did"), text.alias("text"), F.xxhash64(F.col(host).cast("string")).alias("hk"))
+    return keyed.withColumn("dk", F.xxhash64("text", F.length("text")))
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    """_hk, _did, _dk, pos, lk (a line's hash) and words of every line with a word."""
-    lines = keyed.select("_hk", "_did", "_dk", F.posexplode(normal_lines(F.col("_text"))).alias("pos", "line")).where("line <> ''")
+    """hk, did, dk, pos, lk (a line's hash) and words of every line with a word."""
+    lines = keyed.select("hk", "did", "dk", F.posexplode(normal_lines(F.col("text"))).alias("pos", "line")).where("line <> ''")
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return lines.select("_hk", "_did", "_dk", "pos", F.xxhash64("line").alias("lk"), words.cast("long").alias("words"))
+    return lines.select("hk", "did", "dk", "pos", F.xxhash64("line").alias("lk"), words.cast("long").alias("words"))
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", least_docs: int = 5, share: float = 0.02) -> DataFrame:
-    """_hk, lk and n_docs of lines that more than `least_docs` documents of a host have, and more than `share` of them all.
+    """hk, lk and n_docs of lines that more than `least_docs` documents of a host have, and more than `share` of them all.
 
     Documents are told apart by their texts, so that any number of equal copies counts as one. Each document's lines are made distinct
     before they are counted, and counted in part where they are, so that a line of a third of all documents meets in no one task.
     """
     keyed = _keyed(docs, host)
-    n_docs = _lines(keyed).select("_hk", "lk", "_dk").distinct().groupBy("_hk", "lk").agg(F.count("*").alias("n_docs"))
-    hosts = keyed.select("_hk", "_dk").distinct().groupBy("_hk").agg(F.count("*").alias("of"))
-    return n_docs.where(F.col("n_docs") > least_docs).join(hosts, "_hk").where(F.col("n_docs") > share * F.col("of")).select("_hk", "lk", "n_docs")
+    n_docs = _lines(keyed).select("hk", "lk", "dk").distinct().groupBy("hk", "lk").agg(F.count("*").alias("n_docs"))
+    hosts = keyed.select("hk", "dk").distinct().groupBy("hk").agg(F.count("*").alias("of"))
+    return n_docs.where(F.col("n_docs") > least_docs).join(hosts, "hk").where(F.col("n_docs") > share * F.col("of")).select("hk", "lk", "n_docs")
 
 
 def apply_rules(docs: DataFrame, host: str = "source", least_docs: int = 5, share: float = 0.02, least_words: int = 20, most_repeated: int = 30, most_removed: int = 50) -> DataFrame:
@@ -93,27 +93,24 @@ def apply_rules(docs: DataFrame, host: str = "source", least_docs: int = 5, shar
     `most_repeated` in 100 of them are in repeated windows of eight words; it is depleted if fewer than `least_words` words are left
     or more than `most_removed` in 100 went; kept is neither. A null text has no words and stays null; repeated rows and
     equal texts fare alike; documents of a null host are one host; an empty table gives no rows. Other columns pass
-    through; one that has the name of a new column is an error.
+    through; one that has the name of a new column is replaced.
     """
-    new = {"clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_lines", "n_removed_words", "base_failed", "kept"}
-    if taken := (new | {"_did", "_dk", "_hk", "_text", "_m", "_gone"}) & set(docs.columns):
-        raise ValueError(f"columns {sorted(taken)} are there already")
     keyed = _keyed(docs, host)
-    frequent = common.stored(frequent_lines(docs, host, least_docs, share).select("_hk", "lk"), "frequent")
+    frequent = common.stored(frequent_lines(docs, host, least_docs, share).select("hk", "lk"), "frequent")
     few = frequent.count() <= MOST_BROADCAST
-    met = _lines(keyed).join(F.broadcast(frequent) if few else frequent, ["_hk", "lk"])
-    gone = met.groupBy("_hk", "_did", "_dk").agg(F.collect_set(F.struct("pos", "words")).alias("_gone"))
-    removed = lambda n: F.coalesce(n, F.lit(0)).cast("long")
-    out = keyed.withColumn("_m", measures(F.col("_text"))).drop("_text").join(gone, ["_hk", "_did", "_dk"], "left")
-    lines = F.split("text", "\n")
-    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("_gone", lambda g: g["pos"]))
-    out = out.withColumn("clean_text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(lines, lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))))
-    out = out.withColumn("n_removed_lines", removed(F.when(F.col("_gone").isNotNull(), F.size("_gone"))))
-    out = out.withColumn("n_removed_words", removed(F.aggregate("_gone", F.lit(0).cast("long"), lambda s, g: s + g["words"])))
-    out = out.select(*docs.columns, "clean_text", "_m.w.n_words", "_m.w.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.w.n_repeat_words", "n_removed_lines", "n_removed_words")
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    depleted = (F.col("n_words") - F.col("n_removed_words") < least_words) | (100 * F.col("n_removed_words") > most_removed * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~depleted)
+    met = _lines(keyed).join(F.broadcast(frequent) if few else frequent, ["hk", "lk"])
+    gone = met.groupBy("hk", "did", "dk").agg(F.collect_set(F.struct("pos", "words")).alias("gone"))
+    out = keyed.withColumn("m", measures(F.col("text"))).drop("text").join(gone, ["hk", "did", "dk"], "left").withColumn("text", F.col("row")["text"])
+    left = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.transform("gone", lambda g: g["pos"]))
+    cleaned = let(F.split("text", "\n"), lambda x: F.array_join(F.transform(left(x), lambda i: F.get(x, i)), "\n"))
+    count = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+    found = {"clean_text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(cleaned)}
+    found |= {c: F.col(f"m.w.{c}") for c in ("n_words", "word_chars", "n_repeat_words")} | {c: F.col(f"m.{c}") for c in ("n_symbols", "n_dup_lines")}
+    found |= {"n_removed_lines": count(F.when(F.col("gone").isNotNull(), F.size("gone"))), "n_removed_words": count(F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["words"]))}
+    failed = (found["n_words"] < least_words) | (100 * found["n_repeat_words"] > most_repeated * found["n_words"])
+    depleted = (found["n_words"] - found["n_removed_words"] < least_words) | (100 * found["n_removed_words"] > most_removed * found["n_words"])
+    found |= {"base_failed": failed, "kept": ~failed & ~depleted}
+    return out.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in found), *(x.alias(c) for c, x in found.items()))
 
 
 def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
