@@ -274,7 +274,8 @@ def count_shards(docs: DataFrame, a_path: str, b_path: str) -> Shards:
         of = lambda first, rest: pa.array([first, *[None] * (len(starts) - 1)], rest)
         yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(most), of(name, pa.string()), of(len(keys), pa.int64()), of(int(keys[0]), pa.int64()), of(int(keys[-1]), pa.int64())], names=["b", "most", "path", "n", "first", "last"])
 
-    ordered = partial_counts(docs, a_path, b_path).repartitionByRange("key").sortWithinPartitions("key")
+    counted = common.stored(partial_counts(docs, a_path, b_path), "counts")  # written, as ranges are sampled before they are dealt out
+    ordered = counted.repartitionByRange("key").sortWithinPartitions("key")
     rows = ordered.mapInArrow(run, "b long, most long, path string, n long, first long, last long").collect()
     best = np.zeros(max((r["b"] for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
