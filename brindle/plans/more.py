@@ -8,6 +8,7 @@ from brindle.functions import text as T
 from brindle.operators import anomaly, communities, crossevent, evidence, features, graph, monitoring, neural, relational, reports, vectors
 from brindle.sources import adapters as A
 from brindle.sources import crawl, parsers
+from brindle.streaming import stateful
 
 
 def _json(rows: DataFrame, **columns) -> DataFrame:
@@ -110,6 +111,14 @@ def register(add, r6) -> None:
     same = lambda s, d: A.activity(s, d).select(F.col("user_id").alias("u1"), F.col("user_id").alias("u2"))
     add("behavior_alignment", lambda s, d: r6(crossevent.by_behavior(days(s, d, "2024-01-01", "2024-01-12"), days(s, d, "2024-01-12", "2024-02-01"), same(s, d)).select("u1", "u2", "topic_similarity")), "SELECT u1, u1 AS u2, round(c / (n1 + n2 - c), 6) AS topic_similarity FROM (SELECT x.user_id AS u1, n1, n2, (SELECT count(*) FROM (SELECT DISTINCT platform FROM p1 WHERE user_id = x.user_id INTERSECT SELECT DISTINCT platform FROM p2 WHERE user_id = x.user_id)) AS c FROM (SELECT user_id, count(DISTINCT platform) AS n1 FROM p1 GROUP BY 1) x JOIN (SELECT user_id, count(DISTINCT platform) AS n2 FROM p2 GROUP BY 1) y USING (user_id))", A.ACTIVITY, "p1 AS (SELECT * FROM activity WHERE posted_at BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-12'), p2 AS (SELECT * FROM activity WHERE posted_at BETWEEN TIMESTAMP '2024-01-12' AND TIMESTAMP '2024-02-01')")
 
+    # ---- streams, replayed over what has landed
+    def live(s, d):
+        path = f"{d}/event[s].parquet"  # a pattern, as a stream reads folders or patterns, and the table may be a file
+        ticks = s.readStream.schema(s.read.parquet(path).schema).parquet(path)
+        return stateful.replayed_alerts(ticks, ["user_id"], "ts", F.col("value") > 40.0, 3600.0, "1 hour").select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "fired_at", "end")))
+
+    add("live_alerts", live, monitoring.ALERT_SQL, A.ACTIVITY)
+
     # ---- vectors, anomalies, evidence
     wide = lambda s, d: A.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.struct(F.avg("l_quantity").alias("q"), F.avg("l_discount").alias("t")).alias("temporal"), F.struct(F.max("l_tax").alias("x")).alias("content"))
     base = "f AS (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS t, CAST(max(l_tax) AS DOUBLE) AS x FROM lineitem GROUP BY 1)"
