@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import graph, nearest
+
 
 def volume_anomaly(series: DataFrame, by: list[str], time: str, value: str, window: int = 7, threshold: float = 3.0) -> DataFrame:
     """Flags values over `threshold` population stds from the mean of the `window` rows before. Fewer than two of them, no spread, or a series shorter than the window: not flagged."""
@@ -73,29 +75,9 @@ def mahalanobis(df: DataFrame, columns: list[str], threshold: float = 3.0) -> Da
     return df.withColumn("score", F.sqrt(F.greatest(square, F.lit(0.0)))).withColumn("is_anomaly", F.col("score") > threshold)
 
 
-def local_outlier_factor(df: DataFrame, key: str, vector: str, neighbours: int = 20, block_rows: int = 4096) -> DataFrame:
-    """LOF of every row by exact neighbours. Rows meet in blocks: every block's rows are compared with every block, block by block in numpy, and only the nearest `neighbours` of a row go on."""
-    blocks = max(1, -(-df.count() // block_rows))
-    rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    asked = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("k", "v", F.col("with").alias("b"), F.col("b").alias("own"))
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            x, keys = np.array(right["v"].tolist()), right["k"].to_numpy()
-            for at in range(0, len(left), 256):
-                part = left.iloc[at : at + 256]
-                y = np.array(part["v"].tolist())
-                d = np.sqrt(np.maximum(((y[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
-                d[part["k"].to_numpy()[:, None] == keys[None, :]] = np.inf
-                n = min(neighbours, d.shape[1])
-                order = np.lexsort((np.broadcast_to(keys, d.shape), d), axis=1)[:, :n]
-                for i, k in enumerate(part["k"]):
-                    out += [(k, keys[j], float(d[i, j])) for j in order[i] if d[i, j] < np.inf]
-        return pd.DataFrame(out, columns=["k", "n", "d"])
-
-    found = asked.groupBy("b").cogroup(rows.groupBy("b")).applyInPandas(near, f"k {dict(df.dtypes)[key]}, n {dict(df.dtypes)[key]}, d double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("d", "n"))).where(F.col("r") <= neighbours)
+def local_outlier_factor(df: DataFrame, key: str, vector: str, neighbours: int = 20) -> DataFrame:
+    """LOF of every row by its exact nearest neighbours, ties by key (see nearest)."""
+    best = graph.cut(nearest.nearest(df, key, vector, neighbours)[0].select(F.col(key).alias("k"), "n", "d"))
     reach = best.groupBy("k").agg(F.max("d").alias("kd"))
     dens = best.join(reach.select(F.col("k").alias("n"), "kd"), "n").groupBy("k").agg((1 / (F.avg(F.greatest("d", "kd")) + 1e-10)).alias("lrd"))
     lof = best.join(dens.withColumnRenamed("k", "n"), "n").groupBy("k").agg(F.avg("lrd").alias("others")).join(dens, "k")
