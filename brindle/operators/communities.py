@@ -22,32 +22,38 @@ def quality(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> Dat
 
 
 def _local_moves(edges: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """node, community after moving nodes to the neighbouring community of the greatest gain. Half of the nodes, by a hash, may move in a round, so that neighbours don't swap; if modularity is no better in the end, every node is its own."""
-    strength = graph.cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k")))
-    total = strength.agg(F.sum("k")).first()[0]
-    labels = graph.cut(strength.select("node", F.col("node").alias("community")))
-    start, still = labels, 0
-    for r in range(rounds):
-        sizes = labels.join(strength, "node").groupBy("community").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
-        around = edges.where("src <> dst").join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        own = labels.select("node", F.col("community").alias("own"))
-        stay = labels.select("node", "community", F.lit(0.0).alias("w"))  # a node without links into its own community can stay there
-        ways = around.unionByName(stay).groupBy("node", "community").agg(F.sum("w").alias("w")).join(own, "node").join(strength, "node").join(sizes, "community")
-        gain = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / total
-        scored = ways.withColumn("gain", gain)
-        pick = scored.groupBy("node", "own").agg(F.max(F.when(F.col("community") == F.col("own"), F.col("gain"))).alias("now"), F.min_by("community", F.struct((-F.col("gain")).alias("g"), "community")).alias("to"), F.max("gain").alias("most"))
-        turn = (F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2) & (F.col("most") > F.col("now") + 1e-12)
-        new = graph.cut(pick.select("node", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("community"), turn.alias("moved")))
-        moved = new.agg(F.count_if("moved")).first()[0]
-        labels = new.select("node", "community")
+    """node, community after moving nodes to the neighbouring community of the greatest gain, as long as that raises modularity.
+
+    Half of the nodes, another half by a hash each time, may move in a round, so that neighbours don't swap. A round is one aggregate over the edges by node
+    and community, with the labels and the communities' sizes joined once; the sums that make up modularity come with it, and the
+    labelling of the highest one is kept. It ends once two halves in turn don't move.
+    """
+    strength = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
+    labels = graph.cut(strength.select("node", F.col("node").alias("community"), "k"))
+    total = labels.agg(F.sum("k")).first()[0]
+    best, most, still = labels, None, 0
+    for r in range(rounds + 1):
+        sizes = labels.groupBy("community").agg(F.sum("k").alias("size"))
+        own = labels.select("node", F.col("community").alias("own"), "k")
+        tied = edges.join(labels.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "weight", (F.col("src") == F.col("dst")).alias("loop"))
+        ways = tied.unionByName(labels.select("node", "community", F.lit(0.0).alias("weight"), F.lit(True).alias("loop")))  # a node may stay without links
+        ways = ways.groupBy("node", "community").agg(F.sum("weight").alias("all"), F.sum(F.when(~F.col("loop"), F.col("weight")).otherwise(0.0)).alias("w")).join(own, "node").join(sizes, "community")
+        here = F.col("community") == F.col("own")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(here, F.col("k")).otherwise(0.0)) / total
+        pick = ways.withColumn("gain", gain).groupBy("node", "own", "k").agg(F.max(F.when(here, F.col("gain"))).alias("now"), F.min_by("community", F.struct((-F.col("gain")).alias("g"), "community")).alias("to"), F.max("gain").alias("top"), F.sum(F.when(here, F.col("all")).otherwise(0.0)).alias("inside"), F.max(F.when(here, F.col("size"))).alias("size"))
+        turn = (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0) & (F.col("top") > F.col("now") + 1e-12)
+        new = graph.cut(pick.select("node", F.when(turn, F.col("to")).otherwise(F.col("own")).alias("community"), "k", turn.alias("moved"), (F.col("inside") / total - resolution * F.col("k") * F.col("size") / (total * total)).alias("part")))
+        moved, score = new.agg(F.count_if("moved"), F.sum("part")).first()  # the score is that of the labels before this round
+        if most is None or score > most + 1e-12:
+            best, most = labels, score
         still = 0 if moved else still + 1
         if still == 2:
             break
-    better = quality(edges, labels, resolution).first()[0] > quality(edges, start, resolution).first()[0] + 1e-12
-    return labels if better else start
+        labels = new.select("node", "community", "k")
+    return best.select("node", "community")
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, most_levels: int = 3) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, most_levels: int = 3) -> DataFrame:
     """node, community (its smallest node): moves of single nodes, then of the communities as nodes of a smaller graph, until modularity stops growing.
 
     Weights of both directions count; a greater resolution gives smaller communities. Only sums come to the driver. No edges:
@@ -56,7 +62,7 @@ def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 6, most_lev
     level = graph.cut(undirected(edges))
     found = graph.cut(graph.nodes_of(edges).select("node", F.col("node").alias("community")))
     for _ in range(most_levels if not level.isEmpty() else 0):
-        moved = graph.cut(_local_moves(level, resolution, rounds))
+        moved = _local_moves(level, resolution, rounds)
         if moved.where("node <> community").isEmpty():
             break
         found = graph.cut(found.join(moved.select(F.col("node").alias("community"), F.col("community").alias("to")), "community", "left").select("node", F.coalesce("to", "community").alias("community")))
@@ -166,7 +172,7 @@ def community_features(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def dense_ids(df: DataFrame, by: str) -> DataFrame:
     """df with id, numbers from 0 without gaps in the order of `by`: ranges are numbered each for itself, from the counts of those before."""
-    placed = graph.cut(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))
+    placed = graph.pinned(df.repartitionByRange(by).withColumn("_p", F.spark_partition_id()))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("before"))  # one row a partition
     return placed.withColumn("id", F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1).join(F.broadcast(before), "_p").withColumn("id", F.col("id") + F.col("before")).drop("_p", "before")

@@ -1,10 +1,13 @@
 """Graph operators over an edge table (src, dst, weight) and, where needed, a node table (node).
 
-Iterative operators cut their lineage with a checkpoint each few rounds; the frontier, ranks or labels stay distributed and only
+Iterative operators cut their lineage with a written table each few rounds; the frontier, ranks or labels stay distributed and only
 counts or sums come to the driver.
 """
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_written: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share; only where none is set, as in tests, a temporary one is used."""
     sc = spark.sparkContext
@@ -24,7 +30,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder."""
+    """df written as Parquet to the shared folder and read back: computed once, its size known to the planner, and nothing that a lost executor takes along."""
+    if not _written:
+        atexit.register(clean_up)
+    path = f"{shared_folder(df.sparkSession)}/brindle-{uuid.uuid4().hex}"
+    _written.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean_up() -> None:
+    """Deletes what was written; runs at exit, or when a caller has consumed the results."""
+    spark = SparkSession.getActiveSession()
+    while _written:
+        path = _written.pop()
+        if spark is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone at exit
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder, which keeps its partitions and their order."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 

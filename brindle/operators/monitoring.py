@@ -163,9 +163,9 @@ def multi_bucket(requests: DataFrame, key: str, time: str, order: str, levels: l
     so do levels, exactly. Null keys are one key; requests at the same time go by `order`; one without a time comes first.
     """
     rows = requests.withColumn("_k", F.xxhash64(key)).withColumn("_us", F.coalesce(F.unix_micros(F.col(time).cast("timestamp")), F.lit(0))).withColumn("_ok", F.lit(True))
-    rows = graph.cut(rows.repartitionByRange("_k", "_us", order).sortWithinPartitions("_k", "_us", order))
+    rows = graph.pinned(rows.repartitionByRange("_k", "_us", order).sortWithinPartitions("_k", "_us", order))
     for rate, capacity in levels:
-        rows = graph.cut(_bucket(rows, _units(rate, capacity, cost)))
+        rows = graph.pinned(_bucket(rows, _units(rate, capacity, cost)))
     return rows.withColumn("allowed", F.col("_ok")).drop("_k", "_us", "_ok")
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
-from brindle.operators import anomaly, communities, crossevent, evidence, features, graph, monitoring, neural, relational, reports, vectors
+from brindle.operators import anomaly, autoencoder, communities, crossevent, evidence, features, graph, monitoring, neural, paths, relational, reports, vectors
 from brindle.sources import adapters as A
 from brindle.sources import crawl, parsers
 from brindle.streaming import stateful
@@ -87,6 +87,10 @@ def register(add, r6) -> None:
     add("influencers", lambda s, d: r6(communities.influencers(nation(s, d))))
     add("centrality_features", lambda s, d: r6(communities.centrality_features(nation(s, d))))
     add("network_metrics", lambda s, d: r6(communities.network_metrics(nation(s, d))))
+    every_way = lambda s, d: (lambda e: e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))(A.purchases(s, d))
+    add("sketched_closeness", lambda s, d: r6(paths.closeness(every_way(s, d))))
+    add("neighbourhood", lambda s, d: paths.neighbourhood(every_way(s, d)))
+    add("sampled_betweenness", lambda s, d: r6((lambda e: paths.betweenness(e, graph.nodes_of(e).orderBy(F.xxhash64("node"), "node").limit(16)))(every_way(s, d))))
     region = lambda s, d: A.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").cast("long").alias("community"))
     add("community_features", lambda s, d: r6(communities.community_features(nation(s, d), region(s, d)).select("node", long("community_index"), "degree_share")), "SELECT node, i AS community_index, round(n / (2 * (SELECT count(*) FROM edges)), 6) AS degree_share FROM (SELECT node, count(*) AS n FROM (SELECT src AS node FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1) LEFT JOIN (SELECT CAST(n_nationkey AS BIGINT) AS node, i FROM nation JOIN (SELECT n_regionkey, row_number() OVER (ORDER BY count(*) DESC, n_regionkey) - 1 AS i FROM nation GROUP BY 1) USING (n_regionkey)) USING (node)", A.NATION_GRAPH)
     add("structural_similarity", lambda s, d: r6(communities.structural_similarity(nation(s, d), A.nation_graph(s, d, 7))))
@@ -128,8 +132,19 @@ def register(add, r6) -> None:
     member = lambda s, d: A.users(s, d).withColumn("avatar_url", F.lit(None).cast("string"))
     add("user_vector", lambda s, d: r6((lambda v: v.select("user_id", "temporal.daily_mean", "metadata.profile_completeness"))(vectors.user_vector(A.activity(s, d).select("user_id", "posted_at", F.col("platform").alias("content")), member(s, d)))), "SELECT user_id, round(CASE WHEN sum(n) < 2 THEN sum(n) ELSE avg(n) END, 6)::DOUBLE AS daily_mean, round(coalesce(max(c), 0), 6) AS profile_completeness FROM (SELECT user_id, CAST(posted_at AS DATE) AS day, count(*) AS n FROM activity GROUP BY 1, 2) LEFT JOIN (SELECT user_id, (2 + CASE WHEN trim(coalesce(bio, '')) <> '' THEN 1 ELSE 0 END) / 4 AS c FROM users) USING (user_id) GROUP BY 1", A.ACTIVITY, A.USERS)
     add("topic_features", lambda s, d: r6(vectors.topic_features(docs(s, d))))
-    add("top_contributions", lambda s, d: r6(A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(anomaly.top_contributions(F.create_map(F.lit("a"), F.col("l_discount") - 0.05, F.lit("b"), F.col("l_tax") - 0.04, F.lit("c"), F.lit(0.03)), 1)).alias("x")).select("l_orderkey", "l_linenumber", "x.key", F.col("x.value").cast("double").alias("value"))))
-    add("latent", lambda s, d: anomaly.latent(A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 1).agg(F.count("latent").alias("n")), "SELECT count(*) AS n FROM lineitem")
+    add("top_contributions", lambda s, d: r6(A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(anomaly.top_contributions(F.create_map(F.lit("a"), F.col("l_discount") - 0.05, F.lit("b"), F.col("l_tax") - 0.04, F.lit("c"), F.lit(0.03)), 1)).alias("x")).select("l_orderkey", "l_linenumber", "x.key", F.col("x.value").cast("double").alias("value"))), "SELECT l_orderkey, l_linenumber, x.k AS key, round(x.v, 6) AS value FROM (SELECT l_orderkey, l_linenumber, list_sort([{'m': -abs(l_discount - 0.05), 'k': 'a', 'v': l_discount - 0.05}, {'m': -abs(l_tax - 0.04), 'k': 'b', 'v': l_tax - 0.04}, {'m': -0.03::DOUBLE, 'k': 'c', 'v': 0.03::DOUBLE}])[1] AS x FROM lineitem)")
+    two = ["l_quantity", "l_extendedprice"]
+    scaled = "z AS (SELECT l_orderkey, l_linenumber, (l_quantity - q0) / (q1 - q0) AS x, (l_extendedprice - p0) / (p1 - p0) AS y FROM lineitem, (SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_extendedprice) AS p0, max(l_extendedprice) AS p1 FROM lineitem))"
+    moments = "m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, covar_pop(x, y) AS b, var_pop(y) AS c FROM z)"
+    axis = "v AS (SELECT mx, my, b / sqrt(b * b + (l - a) * (l - a)) AS vx, (l - a) / sqrt(b * b + (l - a) * (l - a)) AS vy FROM (SELECT *, (a + c) / 2 + sqrt((a - c) * (a - c) / 4 + b * b) AS l FROM m))"
+    place = "((x - mx) * vx + (y - my) * vy) * CASE WHEN CASE WHEN abs(vx) >= abs(vy) THEN vx ELSE vy END < 0 THEN -1 ELSE 1 END"
+    add("latent", lambda s, d: r6(anomaly.latent(A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *two), two, 1).select("l_orderkey", "l_linenumber", F.col("latent")[0].alias("place"))), f"SELECT l_orderkey, l_linenumber, round({place}, 6) AS place FROM z, v", scaled, moments, axis)
+
+    def coded(s, d):
+        rows = A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *two, "l_discount", "l_tax")
+        return r6(autoencoder.Autoencoder([*two, "l_discount", "l_tax"], hidden=(8,), latent=2, steps=30).fit(rows).score(rows).select("l_orderkey", "l_linenumber", "score", "is_anomaly"))
+
+    add("autoencoder_scores", coded)
 
     def stack(s, d):
         rows = anomaly.z_scores(A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], 1.6).withColumnRenamed("score", "z").withColumnRenamed("is_anomaly", "f")
@@ -152,4 +167,9 @@ def register(add, r6) -> None:
     add("gat_layer", lambda s, d: flat(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.zeros((1, 2)), np.zeros((1, 2)))), mean.format(more_a="", more_b=""), A.NATION_GRAPH)
     add("gat_attention", lambda s, d: r6(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.array([[0.1, 0.0]]), np.zeros((1, 2)), attention=True).select("src", "dst", "alpha")), "SELECT src, dst, round(exp(src * 0.1) / sum(exp(src * 0.1)) OVER (PARTITION BY dst), 6) AS alpha FROM edges", A.NATION_GRAPH)
     add("evidence_top", lambda s, d: evidence.items(A.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("daily_amount"), F.avg("l_discount").alias("profile_discount")), "l_suppkey", ["daily_amount", "profile_discount"]).where("rank = 1").select("l_suppkey", "feature"), "SELECT l_suppkey, arg_max(f, i) AS feature FROM (SELECT l_suppkey, f, abs(z) * 0.5 * CASE WHEN abs(z) >= 4 THEN 5 WHEN abs(z) >= 3 THEN 3 WHEN abs(z) >= 2 THEN 2 ELSE 1 END AS i FROM (SELECT l_suppkey, 'daily_amount' AS f, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS z FROM f UNION ALL SELECT l_suppkey, 'profile_discount', (t - avg(t) OVER ()) / stddev_pop(t) OVER () FROM f) WHERE abs(z) >= 1) GROUP BY 1", base)
-    add("style_similarity", lambda s, d: r6((lambda st: st.crossJoin(st.agg(*(F.avg(c).alias(f"m_{c}") for c in features.STYLE))).select("user_id", features.cosine([F.col("avg_length")], [F.col("m_avg_length")]).alias("similarity")))(features.text_style(docs(s, d)))), "SELECT user_id, CAST(1 AS DOUBLE) AS similarity FROM texts GROUP BY 1", A.TEXTS)
+    same = lambda st: features.cosine([F.col(c) for c in features.STYLE], [F.col(f"m_{c}") for c in features.STYLE])
+    parts_sql = {"avg_length": "avg(length(content))", **{n: f"sum(len(regexp_extract_all(content, '{p}'))) / greatest(sum(length(content)), 1)" for n, p in (("exclamation", "!"), ("question", "[?]"), ("uppercase", "\\p{Lu}"))}, "emoji": "0.0"}
+    style_sql = f"st AS (SELECT user_id, {', '.join(f'100 * ({x}) AS {n}' if n != 'avg_length' else f'({x}) / 1000 AS {n}' for n, x in parts_sql.items())} FROM texts GROUP BY 1)"
+    dot = lambda a, b: " + ".join(f"{a}.{n} * {b}.{n}" for n in parts_sql)
+    weighed = lambda st: st.select("user_id", (F.col("avg_length") / 1000).alias("avg_length"), *((100 * F.col(c)).alias(c) for c in features.STYLE[1:]))  # noqa: E731, so that no part hides the others
+    add("style_similarity", lambda s, d: r6((lambda st: st.crossJoin(F.broadcast(st.agg(*(F.avg(c).alias(f"m_{c}") for c in features.STYLE)))).select("user_id", same(st).alias("similarity")))(weighed(features.text_style(docs(s, d))))), f"SELECT user_id, round(({dot('st', 'g')}) / (sqrt({dot('st', 'st')}) * sqrt({dot('g', 'g')})), 6) AS similarity FROM st, (SELECT {', '.join(f'avg({n}) AS {n}' for n in parts_sql)} FROM st) AS g", A.TEXTS, style_sql)
