@@ -55,21 +55,21 @@ class KdTree:
             yield out, bound
 
 
-def search(vectors: np.ndarray, tree: KdTree, query: np.ndarray, q: np.ndarray, k: int, sure: float, known: float = inf) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows found and their cosines. Projected neighbours are verified until a row as near as the k-th best would, with a chance of `sure`, have come by now.
+def search(vectors: np.ndarray, names: np.ndarray, tree: KdTree, query: np.ndarray, q: np.ndarray, k: int, sure: float, known: float = inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows found and their cosines, ties to the smaller name. A cosine is summed in the same order wherever its row lies. Projected neighbours are verified until a row as near as the k-th best would, with a chance of `sure`, have come by now.
 
     The squared projected distance over the squared true distance of unit vectors follows a chi-square distribution.
     known: a squared distance that k others are already within.
     """
-    m, norm = len(q), np.sqrt(query @ query)
+    m, norm = len(q), np.sqrt((query * query).sum())
     ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
     for new, bound in tree.nearing(q):
         if len(new):
             rows = vectors[new]
-            got = (rows @ query) / (np.sqrt((rows * rows).sum(axis=1)) * norm)
+            got = (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * norm)
             ids, scores = np.concatenate((ids, new)), np.concatenate((scores, got))
             if len(ids) > k:
-                best = np.argsort(-scores, kind="stable")[:k]
+                best = np.lexsort((names[ids], -scores))[:k]
                 ids, scores = ids[best], scores[best]
         reach = min(known, max(2 - 2 * scores.min(), 0.0) if len(ids) == k else inf)
         if reach < inf and bound > reach * 1e-12 and chi_square_below(bound / max(reach, 1e-12), m) >= sure:
@@ -144,8 +144,9 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
             v = np.array(rows_["v"].tolist(), dtype=float)
             tree = KdTree(np.array(rows_["p"].tolist(), dtype=float))
             ids = rows_["ids"].to_list()
+            names = np.array([i[0] for i in ids], dtype=np.int64)
             for query, vec, point, known in zip(asked["query"], asked["vec"], asked["point"], asked["known"], strict=True):
-                at, score = search(v, tree, np.array(vec, dtype=float), np.array(point, dtype=float), k + 1, sure, known)
+                at, score = search(v, names, tree, np.array(vec, dtype=float), np.array(point, dtype=float), k + 1, sure, known)
                 out += [(query, list(ids[i]), float(s)) for i, s in zip(at, score, strict=True)]
         return pd.DataFrame(out, columns=["query", "ids", "score"])
 
