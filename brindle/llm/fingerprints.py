@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Texts of these characters alone are canonical but for case and white space: ASCII and Latin-1's letters, composed.
-PLAIN = "^[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*$"
+#: Texts of these characters alone are canonical but for white space, once in lower case: ASCII and Latin-1's letters, composed, without the sharp s.
+PLAIN = "^[\\x00-\\x7fÀ-ÖØ-Þà-öø-ÿ]*$"
 PAGE = 256
 HANGUL, LEADS, VOWELS, TAILS = 0xAC00, 0x1100, 0x1161, 0x11A7
 CUT = "\x01"
 
 
 def form_of(c: str) -> str:
-    """A character in lower case and fully decomposed, compatibility forms too; white space is a space."""
+    """A character fully decomposed, compatibility forms too, with its case folded; white space is a space. The iota that is written below stays a mark, whose order counts, where full folding makes it a letter."""
     if c.isspace():
         return " "
     was, now = "", c
     while was != now:
-        was, now = now, unicodedata.normalize("NFKD", now.lower())
+        was, now = now, unicodedata.normalize("NFKD", "".join(x if x == "\u0345" else x.casefold() for x in unicodedata.normalize("NFKD", now)))
     return "".join(" " if x.isspace() else x for x in now)
 
 
@@ -56,14 +56,14 @@ def _listed(items: list[str]) -> Column:
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, Unicode compatibility decomposition with marks in canonical order, and each run of white space as one space, none at the ends.
+    """Case folded in full, Unicode compatibility decomposition with marks in canonical order, and each run of white space as one space, none at the ends.
 
     Two texts have equal forms exactly if they are canonically or compatibly equivalent but for case and white space. Latin-1's
     letters are composed again, so that texts of them and ASCII skip the way through the tables. Hangul is taken apart by
     arithmetic. Null stays null.
     """
     pages, forms, marks, order, latin = tables()
-    lowered = F.lower(text)
+    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))  # common, so that it needn't go through the tables
     at = lambda c: F.get(_listed(pages), F.shiftright(F.ascii(c), 8))
     entry = lambda c, table: F.get(_listed(table), at(c).cast("int") + F.ascii(c).bitwiseAND(PAGE - 1))
     pick = lambda first, n, i: F.substring(F.lit("".join(chr(first + k) for k in range(n))), (i + 1).cast("int"), F.lit(1))
