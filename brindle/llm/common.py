@@ -82,7 +82,7 @@ def fold(doc_id: str | Column, n: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int) -> DataFrame:
-    """At most `most` labelled documents (text, y), chosen by a hash of the id so that every run takes the same ones.
+    """At most `most` labelled documents (text, y), chosen by a hash of the id so that every run takes the same ones; of an id that is repeated the least text.
 
     The chosen ids, at most `most` rows, are broadcast; the texts are not.
     """
@@ -93,4 +93,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y")

@@ -191,7 +191,7 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50, wide: bool
     twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     last = single.where("alone").join(twice, ["w1", "w2"]).select("did", "th", "first", F.col("first").alias("last"))
     every = pure.unionByName(whole).unionByName(starts(shared.where("same AND alone"))).unionByName(starts(equal)).unionByName(last)
-    return every.groupBy("did", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    return every.groupBy("did", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # equal rows have equal ranges
 
 
 def _sides() -> F.Column:
