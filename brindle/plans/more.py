@@ -167,9 +167,9 @@ def register(add, r6) -> None:
     add("gat_layer", lambda s, d: flat(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.zeros((1, 2)), np.zeros((1, 2)))), mean.format(more_a="", more_b=""), A.NATION_GRAPH)
     add("gat_attention", lambda s, d: r6(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.array([[0.1, 0.0]]), np.zeros((1, 2)), attention=True).select("src", "dst", "alpha")), "SELECT src, dst, round(exp(src * 0.1) / sum(exp(src * 0.1)) OVER (PARTITION BY dst), 6) AS alpha FROM edges", A.NATION_GRAPH)
     add("evidence_top", lambda s, d: evidence.items(A.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("daily_amount"), F.avg("l_discount").alias("profile_discount")), "l_suppkey", ["daily_amount", "profile_discount"]).where("rank = 1").select("l_suppkey", "feature"), "SELECT l_suppkey, arg_max(f, i) AS feature FROM (SELECT l_suppkey, f, abs(z) * 0.5 * CASE WHEN abs(z) >= 4 THEN 5 WHEN abs(z) >= 3 THEN 3 WHEN abs(z) >= 2 THEN 2 ELSE 1 END AS i FROM (SELECT l_suppkey, 'daily_amount' AS f, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS z FROM f UNION ALL SELECT l_suppkey, 'profile_discount', (t - avg(t) OVER ()) / stddev_pop(t) OVER () FROM f) WHERE abs(z) >= 1) GROUP BY 1", base)
-    same = lambda st: features.cosine([F.col(c) for c in features.STYLE], [F.col(f"m_{c}") for c in features.STYLE])
+    to_mean = lambda st: features.cosine([F.col(c) for c in features.STYLE], [F.col(f"m_{c}") for c in features.STYLE])
     parts_sql = {"avg_length": "avg(length(content))", **{n: f"sum(len(regexp_extract_all(content, '{p}'))) / greatest(sum(length(content)), 1)" for n, p in (("exclamation", "!"), ("question", "[?]"), ("uppercase", "\\p{Lu}"))}, "emoji": "0.0"}
     style_sql = f"st AS (SELECT user_id, {', '.join(f'100 * ({x}) AS {n}' if n != 'avg_length' else f'({x}) / 1000 AS {n}' for n, x in parts_sql.items())} FROM texts GROUP BY 1)"
     dot = lambda a, b: " + ".join(f"{a}.{n} * {b}.{n}" for n in parts_sql)
     weighed = lambda st: st.select("user_id", (F.col("avg_length") / 1000).alias("avg_length"), *((100 * F.col(c)).alias(c) for c in features.STYLE[1:]))  # noqa: E731, so that no part hides the others
-    add("style_similarity", lambda s, d: r6((lambda st: st.crossJoin(F.broadcast(st.agg(*(F.avg(c).alias(f"m_{c}") for c in features.STYLE)))).select("user_id", same(st).alias("similarity")))(weighed(features.text_style(docs(s, d))))), f"SELECT user_id, round(({dot('st', 'g')}) / (sqrt({dot('st', 'st')}) * sqrt({dot('g', 'g')})), 6) AS similarity FROM st, (SELECT {', '.join(f'avg({n}) AS {n}' for n in parts_sql)} FROM st) AS g", A.TEXTS, style_sql)
+    add("style_similarity", lambda s, d: r6((lambda st: st.crossJoin(F.broadcast(st.agg(*(F.avg(c).alias(f"m_{c}") for c in features.STYLE)))).select("user_id", to_mean(st).alias("similarity")))(weighed(features.text_style(docs(s, d))))), f"SELECT user_id, round(({dot('st', 'g')}) / (sqrt({dot('st', 'st')}) * sqrt({dot('g', 'g')})), 6) AS similarity FROM st, (SELECT {', '.join(f'avg({n}) AS {n}' for n in parts_sql)} FROM st) AS g", A.TEXTS, style_sql)
