@@ -11,7 +11,6 @@ from brindle.operators import monitoring
 from brindle.streaming import stateful
 
 
-
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 
