@@ -1,9 +1,10 @@
 """Communities by modularity, and scores that combine several measures of a node."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.operators import graph
+from brindle.operators import graph, neural
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -107,6 +108,31 @@ def described(labels: DataFrame, edges: DataFrame, least: int = 3, top: int = 5)
     return sizes.join(tops, "community")
 
 
+def overlapping(edges: DataFrame, layers: list[tuple[np.ndarray, np.ndarray | None]], threshold: float = 0.5) -> DataFrame:
+    """node, community (from 0) and membership: a node is in every community whose membership is over `threshold`, or in none.
+
+    Memberships are the softmax of graph convolutions over the node's degree; layers holds each one's weight (out x in, the first
+    has in 1) and bias, the last one's out is the number of communities. Directions, parallel edges, weights and loops don't count. An
+    empty table gives no rows.
+    """
+    linked = graph.cut(undirected(edges).select("src", "dst"))
+    x = linked.groupBy(F.col("src").alias("node")).agg((F.count("*") + 1).alias("d"))
+    x = x.select("node", "d", F.array((F.col("d") - 1).cast("double")).alias("h"))
+    for i, (weight, bias) in enumerate(layers):
+        x = neural.gcn(x, linked, weight, bias, "softmax" if i == len(layers) - 1 else "relu")
+    return x.select("node", F.posexplode("h").alias("community", "membership")).where(F.col("membership") > threshold)
+
+
+def overlapping_described(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """community, size, directed density (0 for a single node) and mean number of communities of its members; members has node and community, of which a node may have several."""
+    often = members.select("node", "community").join(members.groupBy("node").agg(F.count("*").alias("n")), "node")
+    sizes = often.groupBy("community").agg(F.count("*").alias("size"), F.avg("n").alias("avg_membership"))
+    side = lambda c: members.select(F.col("node").alias(c), "community")
+    inner = edges.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), ["dst", "community"]).groupBy("community").agg(F.count("*").alias("m"))
+    density = F.coalesce(F.try_divide("m", F.col("size") * (F.col("size") - 1)), F.lit(0.0))
+    return sizes.join(inner, "community", "left").select("community", "size", density.alias("density"), "avg_membership")
+
+
 def overlap(a: Column, b: Column) -> Column:
     """The members that two communities share, sorted."""
     return F.array_sort(F.array_intersect(a, b))

@@ -51,6 +51,22 @@ def rgcn(x: DataFrame, edges: DataFrame, bases: np.ndarray, coefficients: dict[s
     return summed.join(x.select("node"), "node", "left_semi")
 
 
+def gcn(x: DataFrame, edges: DataFrame, weight: np.ndarray, bias: np.ndarray | None = None, activation: str | None = None) -> DataFrame:
+    """node, d, h of a graph convolution: the sum over a node and its neighbours of their vectors over the roots of both d, times `weight` (out x in).
+
+    x also has d, one more than the node's degree; edges hold each link in both directions, once. Sums are combined before the
+    shuffle, and taken of the shorter of the vectors before and after the weight.
+    """
+    size, dim = weight.shape
+    early = size < dim
+    told = linear(x.select("node", "d", "h"), weight) if early else x.select("node", "d", "h")
+    told = told.select("node", "d", F.transform("h", lambda v: v / F.sqrt("d")).alias("h"))
+    sent = edges.join(told.select(F.col("node").alias("src"), "h"), "src").select(F.col("dst").alias("node"), F.lit(None).cast(x.schema["d"].dataType).alias("d"), "h")
+    summed = told.unionByName(sent).groupBy("node").agg(F.max("d").alias("d"), F.array(*(F.sum(F.col("h")[i]) for i in range(min(size, dim)))).alias("h"))
+    out = summed.where("d IS NOT NULL").select("node", "d", F.transform("h", lambda v: v / F.sqrt("d")).alias("h"))
+    return linear(out, np.eye(size) if early else weight, bias, activation)
+
+
 def gat(x: DataFrame, edges: DataFrame, weight: np.ndarray, source: np.ndarray, target: np.ndarray, slope: float = 0.2, join: str = "concat", attention: bool = False) -> DataFrame:
     """node, h of multi-head attention: weight is heads x out x in, source and target are heads x out.
 

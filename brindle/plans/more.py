@@ -165,6 +165,16 @@ def register(add, r6) -> None:
     mean = "SELECT n.n_nationkey::BIGINT AS node, round(coalesce(avg(m.n_nationkey), 0){more_a}, 6) AS a, round(coalesce(avg(m.n_regionkey), 0){more_b}, 6) AS b FROM nation n LEFT JOIN edges ON dst = n.n_nationkey LEFT JOIN nation m ON m.n_nationkey = src GROUP BY n.n_nationkey, n.n_regionkey"
     add("rgcn_layer", lambda s, d: flat(neural.rgcn(field(s, d), nation(s, d).withColumn("type", F.lit("t")), np.eye(2)[None], {"t": np.array([1.0])}, np.eye(2))), mean.format(more_a=" + n.n_nationkey", more_b=" + n.n_regionkey"), A.NATION_GRAPH)
     add("gat_layer", lambda s, d: flat(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.zeros((1, 2)), np.zeros((1, 2)))), mean.format(more_a="", more_b=""), A.NATION_GRAPH)
+    layer = [(np.array([[0.02], [-0.02], [0.0]]), np.array([-2.4, 2.4, 0.0]))]
+    members = lambda s, d: communities.overlapping(A.purchases(s, d), layer, 0.3)
+    shares = """both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), deg AS (SELECT src AS node, count(*) AS n FROM both_ways GROUP BY 1),
+ z AS (SELECT d.node, d.n / (d.n + 1) + sum(o.n / sqrt((d.n + 1) * (o.n + 1))) AS z FROM deg d JOIN both_ways b ON b.src = d.node JOIN deg o ON o.node = b.dst GROUP BY d.node, d.n),
+ e AS (SELECT node, unnest([0, 1, 2]) AS community, unnest([exp(0.02 * z - 2.4), exp(2.4 - 0.02 * z), 1.0]) AS x FROM z),
+ members AS (SELECT * FROM (SELECT node, community, x / sum(x) OVER (PARTITION BY node) AS membership FROM e) WHERE membership > 0.3)"""
+    add("overlapping_communities", lambda s, d: r6(members(s, d)), "SELECT node, CAST(community AS INT) AS community, round(membership, 6) AS membership FROM members", A.purchases_sql(), shares)
+    add("overlapping_described", lambda s, d: r6(communities.overlapping_described(members(s, d), A.purchases(s, d))), """SELECT CAST(community AS INT) AS community, size, round(coalesce(m / (size * (size - 1)), 0), 6) AS density, round(avg_membership, 6) AS avg_membership
+ FROM (SELECT community, count(*) AS size, avg(n) AS avg_membership FROM members JOIN (SELECT node, count(*) AS n FROM members GROUP BY 1) USING (node) GROUP BY 1)
+ LEFT JOIN (SELECT a.community, count(*) AS m FROM edges JOIN members a ON a.node = src JOIN members b ON b.node = dst AND b.community = a.community GROUP BY 1) USING (community)""", A.purchases_sql(), shares)
     add("gat_attention", lambda s, d: r6(neural.gat(field(s, d), nation(s, d), np.eye(2)[None], np.array([[0.1, 0.0]]), np.zeros((1, 2)), attention=True).select("src", "dst", "alpha")), "SELECT src, dst, round(exp(src * 0.1) / sum(exp(src * 0.1)) OVER (PARTITION BY dst), 6) AS alpha FROM edges", A.NATION_GRAPH)
     add("evidence_top", lambda s, d: evidence.items(A.table(s, d, "lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("daily_amount"), F.avg("l_discount").alias("profile_discount")), "l_suppkey", ["daily_amount", "profile_discount"]).where("rank = 1").select("l_suppkey", "feature"), "SELECT l_suppkey, arg_max(f, i) AS feature FROM (SELECT l_suppkey, f, abs(z) * 0.5 * CASE WHEN abs(z) >= 4 THEN 5 WHEN abs(z) >= 3 THEN 3 WHEN abs(z) >= 2 THEN 2 ELSE 1 END AS i FROM (SELECT l_suppkey, 'daily_amount' AS f, (q - avg(q) OVER ()) / stddev_pop(q) OVER () AS z FROM f UNION ALL SELECT l_suppkey, 'profile_discount', (t - avg(t) OVER ()) / stddev_pop(t) OVER () FROM f) WHERE abs(z) >= 1) GROUP BY 1", base)
     to_mean = lambda st: features.cosine([F.col(c) for c in features.STYLE], [F.col(f"m_{c}") for c in features.STYLE])

@@ -109,3 +109,32 @@ def test_communities_are_about_as_good_as_one_by_one(web):
         assert score >= share * bar, (fn, score, bar)
         labels = df.sparkSession.createDataFrame(list(found.items()), "node long, community long")
         assert communities.quality(communities.undirected(df), labels).first()[0] == pytest.approx(score)
+
+
+def test_overlapping_communities_equal_matrices(spark):
+    """Two layers over a random graph with a loop, opposite and parallel edges, against dense matrices."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 30, (70, 2))] + [(1, 1), (2, 3), (3, 2), (2, 3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    layers = [(rng.normal(0, 0.5, (6, 1)), rng.normal(0, 1, 6)), (rng.normal(0, 1, (4, 6)), None)]
+    a = np.zeros((30, 30))
+    for i, j in edges:
+        a[i, j] = a[j, i] = i != j
+    degree = a.sum(1)
+    root = 1 / np.sqrt(degree + 1)
+    spread = root[:, None] * (a + np.eye(30)) * root[None, :]
+    h = np.maximum(spread @ degree[:, None] @ layers[0][0].T + layers[0][1], 0)
+    h = np.exp(spread @ h @ layers[1][0].T)
+    h /= h.sum(1, keepdims=True)
+    want = {(i, c): h[i, c] for i in range(30) for c in range(4) if degree[i] and h[i, c] > 0.25}
+    members = communities.overlapping(df, layers, 0.25)
+    got = {(r.node, r.community): r.membership for r in members.collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    times = {i: sum(n == i for n, _ in want) for i, _ in want}
+    assert max(times.values()) > 1
+    for r in communities.overlapping_described(members, df).collect():
+        inside = {n for n, c in want if c == r.community}
+        m = sum(i in inside and j in inside for i, j in set(edges))
+        assert r["size"] == len(inside) and abs(r.avg_membership - np.mean([times[n] for n in inside])) < 1e-9
+        assert abs(r.density - (m / (len(inside) * (len(inside) - 1)) if len(inside) > 1 else 0)) < 1e-9
+    assert communities.overlapping(df.limit(0), layers).count() == 0
