@@ -79,7 +79,7 @@ def alike(one: str, two: str) -> Column:
     """Whether sketches share at least SHARE of the longer one.
 
     Sketches of lines with up to SKETCH shingles are whole sets, so that no link is lost; of longer lines at a Jaccard similarity of
-    exactly 0.8 fewer than 1 in 10,000 fail, far fewer than miss all bands, and a test measures that.
+    exactly 0.8 none of 50,000 simulated pairs failed, where about 1 in 500 misses all bands; a test repeats that with 4,000.
     """
     return F.size(F.array_intersect(one, two)) >= SHARE * F.greatest(F.size(one), F.size(two))
 
