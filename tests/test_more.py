@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.functions.bloom import BloomFilter, ScalableBloomFilter
 from brindle.operators import communities, crossevent, features, graph, monitoring, neural, vectors
+from brindle.plans import catalog
 from brindle.sources import crawl
 
 
@@ -199,3 +201,12 @@ def test_crawl_reads_a_folder(spark, tmp_path):
 def test_lists_are_trimmed(spark):
     row = spark.range(1).select(T.text_list(F.array(F.lit(" a0"), F.lit("a0 "), F.lit(" "), F.lit("b1"))).alias("x"), T.paired_hashtags(F.lit("# t0 # u # #")).alias("y")).first()
     assert row.x == ["a0", "b1"] and row.y == ["t0"]
+
+
+def test_balances_between_two_scores_round_as_in_sql(spark, tmp_path):
+    rows = [(i, f"Customer#{i}", 3, i / 100 * (-1) ** i, "BUILDING") for i in range(50, 1_000_000, 100)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(catalog.ORACLE_SQL["reuse_score"]).fetchall()}
+    assert {r["u1"]: (r["score"], r["kind"]) for r in catalog.QUERIES["reuse_score"](spark, str(tmp_path)).collect()} == want
