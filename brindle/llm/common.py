@@ -49,6 +49,11 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return back
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting. The planner takes a written table's size from its compressed files, so that hashes of under 10 MB there become tables several times as large in the driver; what grows with the corpus is not broadcast."""
+    return df.hint("merge")
+
+
 def release(*steps: DataFrame) -> None:
     """Delete written steps that nothing reads any more."""
     for step in steps:

@@ -169,27 +169,27 @@ def repeated_ranges(docs: DataFrame, span: int = 200, gram: int = 50, wide: bool
     ranks = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
     # what a hot key joins with is written first: a join of two plain shuffles is one that adaptive execution splits
     ranks = common.stored(ranks.select("gram", (F.col("lo") == F.col("hi")).alias("pure")), "grams")
-    again = common.stored(found.join(ranks, "gram"), "ranks")
+    again = common.stored(found.join(common.merged(ranks), "gram"), "ranks")
     ranges = ["did", "th", "first", "last"]
     pure = again.where("pure").select(*ranges)
     rest = again.where("NOT pure")
     classes = common.stored(rest.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct(*ranges, "place")).alias("one")), "contexts")
-    whole = rest.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"]).select(*ranges)
+    whole = rest.join(common.merged(classes.where("n > 1").select("gram", "context")), ["gram", "context"]).select(*ranges)
     per_text = classes.groupBy("one.did", "one.th").agg(F.collect_list(F.struct("one.place", "one.first", "one.last", (F.col("n") == 1).alias("alone"))).alias("ranges"))
-    each = common.stored(blocks(_keyed(docs, wide=wide).join(per_text, ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
+    each = common.stored(blocks(_keyed(docs, wide=wide).join(common.merged(per_text), ["did", "th"]).dropDuplicates(["did", "th"]), span).withColumn("sides", _sides()), "blocks")
     # a block whose core is unique has no repeated string; one whose core and sides occur again has only such
     cores = each.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("sides").alias("a"), F.max("sides").alias("z")).where("n > 1").select("h1", "h2", (F.col("a") == F.col("z")).alias("same"))
     cores = common.stored(cores, "cores")
-    shared = common.stored(each.join(cores, ["h1", "h2"]), "shared")
+    shared = common.stored(each.join(common.merged(cores), ["h1", "h2"]), "shared")
     starts = lambda d: d.select("did", "th", (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last"))
     mixed = shared.where("NOT same")
     kinds = common.stored(mixed.groupBy("h1", "h2", "sides").agg(F.count("*").alias("n"), F.min(F.struct("did", "th", "at", "lo", "hi", "before", "behind", "alone")).alias("one")), "sides")
-    equal = mixed.where("alone").join(kinds.where("n > 1").select("h1", "h2", "sides"), ["h1", "h2", "sides"])
+    equal = mixed.where("alone").join(common.merged(kinds.where("n > 1").select("h1", "h2", "sides")), ["h1", "h2", "sides"])
     single = kinds.select("h1", "h2", "one.*", "n").select("*", F.explode(F.sequence("lo", "hi")).alias("i"))
     left, right = F.substring("before", BLOCK - F.col("i"), F.col("i")), F.substring("behind", F.lit(1), BLOCK - 1 - F.col("i"))
     single = single.select("did", "th", (F.col("at") - F.col("i")).alias("first"), (F.col("alone") & (F.col("n") == 1)).alias("alone"), F.xxhash64("h1", "i", left, right).alias("w1"), F.xxhash64("h2", right, left, "i").alias("w2"))
     twice = single.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    last = single.where("alone").join(twice, ["w1", "w2"]).select("did", "th", "first", F.col("first").alias("last"))
+    last = single.where("alone").join(common.merged(twice), ["w1", "w2"]).select("did", "th", "first", F.col("first").alias("last"))
     every = pure.unionByName(whole).unionByName(starts(shared.where("same AND alone"))).unionByName(starts(equal)).unionByName(last)
     return every.groupBy("did", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))  # equal rows have equal ranges
 
@@ -218,7 +218,7 @@ def deduplicate(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
     the input. Null texts count as empty; texts shorter than `span` stay. Repeated rows repeat each other and go as a whole.
     """
     wide = ambiguous(docs)
-    marked = _keyed(docs, "doc_id", wide=wide).join(repeated_ranges(docs, span, gram, wide), ["did", "th"], "left")
+    marked = _keyed(docs, "doc_id", wide=wide).join(common.merged(repeated_ranges(docs, span, gram, wide)), ["did", "th"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,7 +279,7 @@ def cut_texts(docs: DataFrame, span: int = 200, gram: int = 50) -> DataFrame:
     if taken := {"did", "th", "raw", "ranges", "_kept"} & set(names):
         raise ValueError(f"columns {sorted(taken)} are there already")
     wide = ambiguous(docs)
-    marked = _keyed(docs, *names, wide=wide).join(repeated_ranges(docs, span, gram, wide), ["did", "th"], "left").select("raw", "ranges", *names)
+    marked = _keyed(docs, *names, wide=wide).join(common.merged(repeated_ranges(docs, span, gram, wide)), ["did", "th"], "left").select("raw", "ranges", *names)
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

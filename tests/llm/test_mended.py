@@ -44,3 +44,18 @@ def test_the_labelled_sample_has_a_row_an_id(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int")
     rows = common.labelled_sample(docs, labels, "quality", F.lit(True), 5).collect()
     assert len(rows) == 2 and sorted((x["y"], x["text"]) for x in rows) == [(0, None), (1, "t0")]
+
+
+def test_substrings_are_joined_without_broadcasts(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    text = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    same = text(600)
+    df = spark.createDataFrame([(1, same + text(300)), (2, text(100) + same), (3, same), (4, text(900))], "doc_id long, text string")
+    plans, stored = [], common.stored
+    plan = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common, "stored", lambda d, what="step": (plan(d), stored(d, what))[1])
+    for done in (suffix_dedup.cut_texts(df), suffix_dedup.deduplicate(df)):
+        plan(done)
+        assert done.count()
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
