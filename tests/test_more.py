@@ -210,3 +210,29 @@ def test_balances_between_two_scores_round_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     want = {r[0]: r[1:] for r in con.execute(catalog.ORACLE_SQL["reuse_score"]).fetchall()}
     assert {r["u1"]: (r["score"], r["kind"]) for r in catalog.QUERIES["reuse_score"](spark, str(tmp_path)).collect()} == want
+
+
+def test_attributes_meet_as_all_pairs_do(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("abC1") for _ in range(rng.randrange(0, 9)))
+    user = lambda i: (i, name() or None, rng.choice([None, "", "red blue", "Blue", "green"]), rng.choice([None, None, "x.png", "y.png"]))
+    kind = "user_id long, username string, bio string, avatar_url string"
+    one, two = [user(i) for i in range(60)] + [(900, "ab1cd2ef", None, None)], [user(100 + i) for i in range(60)] + [(901, "ab3cd4ef", None, None)]
+    every = spark.createDataFrame(one, kind).crossJoin(spark.createDataFrame(two, "v long, name2 string, bio2 string, avatar2 string"))
+    like = {(r["user_id"], r["v"]): r["s"] for r in every.select("user_id", "v", T.ratio("username", "name2").alias("s")).collect()}
+    for least in (0.28, 0.2, 0.1):
+        got = {(r["u1"], r["u2"]): r["attribute"] for r in crossevent.by_attributes(spark.createDataFrame(one, kind), spark.createDataFrame(two, kind), least).collect()}
+        # pairs without two avatars: all of them are found
+        for a in one:
+            for b in two:
+                if not (a[3] and b[3]):
+                    x, y = (set((z[2] or "").lower().split()) for z in (a, b))
+                    score = 0.3 * like[a[0], b[0]] + 0.3 * (len(x & y) / len(x | y) if x and y else 0.0)
+                    assert ((a[0], b[0]) in got) == (score > least), (a, b)
+        assert least > 0.2 or (900, 901) in got
+
+
+def test_names_of_one_form_meet_only_where_they_can_pass(spark):
+    u = spark.range(2000).selectExpr("id AS user_id", "format_string('Supplier#%09d', id) AS username", "CAST(NULL AS string) AS bio", "CAST(NULL AS string) AS avatar_url")
+    names = u.select(F.lower("username").alias("low")).withColumn("size", F.length("low"))
+    assert crossevent._met_by_names(names, names, 0.28, 3).count() < 2000 * 100
