@@ -142,3 +142,17 @@ def test_sketched_distances_are_near_the_exact_ones(spark):
     steps = {x["distance"]: x["pairs"] for x in paths.neighbourhood(df).collect()}
     assert max(steps) == max(dist)
     assert all(steps[t] == pytest.approx(len(nodes) + sum(d <= t for d in dist), rel=0.06) for t in steps)
+
+
+def test_loops_keep_one_round_on_disk(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i + 1) for i in range(4)] + [(9, 0)], "src long, dst long")
+    left = lambda f: (len(graph._written), f(), len(graph._written))
+    before, one, after = left(lambda: {x["distance"]: x["pairs"] for x in paths.neighbourhood(df).collect()})
+    assert after - before <= 2
+    monkeypatch.setattr(paths, "EDGES", 1)
+    monkeypatch.setattr(paths, "LOT", 3)  # two lots
+    assert {x["distance"]: x["pairs"] for x in paths.neighbourhood(df).collect()} == one
+    before, _, after = left(lambda: graph.core_numbers(df).count())
+    assert after - before <= 2
+    before, _, after = left(lambda: graph.label_propagation(df, 4).count())
+    assert after - before <= 1
