@@ -232,13 +232,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     shared = common.stored(shared, "shared")
     buckets = common.stored(reps.join(shared, ["band", "key"]), "buckets")
     sets = common.stored(sets_of(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi"), words).groupBy("doc_id").agg(F.min("set").alias("set")), "members")
-    links = tested = None
-    comp = None
+    tested = comp = None
     for r in range(rounds + 1):
         if r == 0:
-            edges = buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
+            edges = buckets.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
         else:
-            here = buckets.drop("centre").join(comp, "doc_id")
+            here = buckets.where("m > 2").drop("centre").join(comp, "doc_id")  # the one pair of two members has been tested
             mixed = here.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.expr(f"min_by(struct(doc_id, component), xxhash64(doc_id, band, {r}))").alias("c")).where("lo <> hi")
             if r < rounds:
                 met = here.join(mixed, ["band", "key"]).where("component <> c.component").select(F.col("doc_id").alias("x"), F.col("c.doc_id").alias("y"))
@@ -246,18 +245,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
                 small = here.where("m <= 24").join(mixed.select("band", "key"), ["band", "key"], "left_semi")
                 one, two = small.select("band", "key", F.col("doc_id").alias("x"), F.col("component").alias("cx")), small.select("band", "key", F.col("doc_id").alias("y"), F.col("component").alias("cy"))
                 met = one.join(two, ["band", "key"]).where("cx < cy").select("x", "y")
-            edges = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = edges.distinct()
-        if tested is not None:
-            edges = edges.join(tested, ["a", "b"], "left_anti")
+            edges = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         edges = common.stored(edges, "edges")
         tested = edges if tested is None else tested.unionByName(edges)
+        if r and edges.isEmpty():
+            continue
         pairs = edges.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
         new = common.stored(similar(pairs, percent), "links")
         if r and new.isEmpty():
             continue
-        links = new if links is None else links.unionByName(new)
-        comp = common.stored(components(links, buckets.select("doc_id").distinct()), "components")
+        comp = common.stored(components(new, buckets.select("doc_id").distinct(), comp), "components")
     here = buckets.where("m > 24").select("band", "key", "doc_id", "n").join(comp, "doc_id")
     mixed = here.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band", "key")
     here = common.stored(here.join(common.stored(mixed, "mixed"), ["band", "key"]), "mixed")
@@ -265,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         keyed = members.where("keys IS NOT NULL").groupBy("doc_id").agg(F.min_by("keys", F.struct("n", F.col("keys")[0])).alias("keys")).join(here.select("doc_id").distinct(), "doc_id", "left_semi")
         new = common.stored(crossing(here, keyed, sets, percent), "links")
         if not new.isEmpty():
-            comp = common.stored(components(links.unionByName(new), buckets.select("doc_id").distinct()), "components")
+            comp = common.stored(components(new, comp.select("doc_id"), comp), "components")
     every = made.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     rep_of = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     found = rep_of.join(comp.withColumnRenamed("doc_id", "rep"), "rep", "left").select(F.col("doc_id"), F.coalesce("component", "rep").alias("component_id"))

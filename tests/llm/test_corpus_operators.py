@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brindle.llm import common, fingerprints, line_dedup, near_dup, neighbours, packing, quality, sentencepieces, suffix_dedup, toxicity, warc
+from brindle.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -353,3 +354,19 @@ def test_additive_model_learns_a_pair():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = quality.AdditiveModel(rounds=30, pair_rounds=60).fit(x, y)
     assert ((m.scores(x) > 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_components_take_few_steps(spark, monkeypatch):
+    """Stars settle in two rounds, and links that come later only join the components that are known."""
+    steps, write = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what="step": (steps.append(what), write(df, what))[1])
+    nodes = spark.range(400).select(F.col("id").alias("doc_id"))
+    star = spark.range(1, 400).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b")).where("b % 2 = 0")
+    known = write(components(star, nodes))
+    assert steps == ["stars"]
+    chain = [(2 * i, 2 * i + 1) for i in range(100)] + [(301, 303), (303, 303), (5, 301)]
+    got = {r.doc_id: r.component for r in components(spark.createDataFrame(chain, "a long, b long"), nodes, known).collect()}
+    assert len(steps) <= 5
+    assert got == {i: 0 if i % 2 == 0 or i < 200 or i in (301, 303) else i for i in range(400)}
+    path = spark.range(399).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert components(path, nodes).agg(F.max("component")).first()[0] == 0
