@@ -42,6 +42,21 @@ def test_nearest_equals_all_pairs_with_fewer_distances(spark, monkeypatch, case)
         assert nearest.nearest(df.limit(0), "i", "v", 5)[0].count() == 0
 
 
+def test_nearest_holds_the_copies_of_one_lot(spark, monkeypatch):
+    """Where all cells meet, no written table has more rows than a lot, and all neighbours are found."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(500)]
+    monkeypatch.setattr(nearest, "BLOCK", 20)
+    monkeypatch.setattr(nearest, "LOT_ROWS", 1000)
+    sizes, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := write(df), sizes.append(out.count() if "slice" in df.columns else 0))[0])
+    got = nearest.nearest(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", 5, 6)[0].collect()
+    assert 1000 < max(sizes) <= 2000 < sum(sizes)
+    want = nearest_by_hand(rows, 5)
+    assert {(x["i"], x["n"]) for x in got} == {(i, n) for i, best in want.items() for _, n in best}
+    assert nearest.lots([5.0, 0.0, 2.0], [3, 4, 1], 10.0) == [[(0, 0, 2)], [(0, 2, 3), (2, 0, 1)]]
+
+
 def test_gradients_equal_differences():
     r = np.random.default_rng(0)
     sizes, linear, x = [3, 4, 2, 4, 3], {1, 3}, r.normal(size=(7, 3))
