@@ -101,6 +101,23 @@ def test_tf_idf_likeness_equals_all_pairs(spark):
         assert got[g].similarity_mean == pytest.approx(np.mean(cos)) and got[g].similarity_std == pytest.approx(np.std(cos), abs=1e-6) and got[g].similarity_max == pytest.approx(max(cos))
 
 
+def test_tf_idf_likeness_makes_no_copies_of_texts(spark, monkeypatch):
+    """Large groups: one with equal texts needs no pairs, one without meets in lots of bounded size; both equal one block a group."""
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "x", " ".join(rng.sample(words, 12)) + (f" v{i}" * (i % 9))) for i in range(120)] + [(500 + i, "y", " ".join(rng.sample(words, 9))) for i in range(60)] + [(700, "y", "w1 w2"), (701, "y", "w2 w1")]
+    docs = spark.createDataFrame(rows, "k long, g string, t string")
+    one = {r.g: r for r in features.tf_idf_similarity(docs, "k", "t", "g").collect()}
+    monkeypatch.setattr(features, "LOT_ROWS", 300)
+    lots, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (lots.append(df.columns), write(df))[1])
+    many = {r.g: r for r in features.tf_idf_similarity(docs, "k", "t", "g", block=10).collect()}
+    assert sum(c == ["g", "m"] for c in lots) == 3  # 120 texts in 12 blocks, 480 copies a lot
+    for g in "xy":
+        assert one[g][1:] == pytest.approx(many[g][1:], abs=1e-9)
+    assert many["y"].similarity_max == 1.0 > many["x"].similarity_max + 1e-6
+
+
 def test_templates_and_pairwise_likeness(spark):
     rows = [("u", 1, "buy now cheap 1"), ("u", 2, "buy now cheap 2"), ("u", 3, "something else entirely"), ("v", 1, "alone")]
     posts = spark.createDataFrame(rows, "user_id string, posted_at long, content string").withColumn("post_id", F.col("posted_at"))
