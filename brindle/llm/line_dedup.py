@@ -138,8 +138,7 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
             more = crossing(buckets, comp, members)
         new = common.stored(similar_lines(common.stored(more, "pairs"), members, percent, k), "links")
         if not new.isEmpty():
-            links = links.unionByName(new)
-            comp = common.stored(components(links, nodes).withColumnRenamed("doc_id", "lid"), "components")
+            comp = common.stored(components(new, nodes, comp.withColumnRenamed("lid", "doc_id")).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component").select("lid", F.col("component").alias("root"))
     return linked.unionByName(linked.select(F.col("root").alias("lid"), "root").distinct())
 
