@@ -37,11 +37,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return path
 
 
-def stored(df: DataFrame, what: str = "step") -> DataFrame:
+def stored(df: DataFrame, what: str = "step", **options: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it back. A lost executor costs nothing."""
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, what)
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     del df
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the shuffle files behind this step, which nothing reads any more
     back = spark.read.schema(schema).parquet(path)

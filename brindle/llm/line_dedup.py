@@ -66,7 +66,8 @@ def signatures(lines: DataFrame, k: int) -> DataFrame:
     around = F.flatten(F.array_repeat(F.slice("h", 1, ROWS), ROWS))  # a line with fewer hashes goes around more than once
     placed = again.select("lid", F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"), F.concat("h", around).alias("h"))
     start = lambda j: F.array_position("m", F.lit(points[j])).cast("int") - j
-    return placed.select("lid", F.array(*[F.xxhash64(F.lit(j), F.slice("h", start(j), F.lit(ROWS))) for j in range(BANDS)]).alias("keys"))
+    key = lambda j: F.xxhash64(F.lit(j), F.slice("h", start(j), F.lit(ROWS))).bitwiseAND(F.lit(-(2**16)))  # noqa: E731  48 bits: the zeros are not paid for on disk
+    return placed.select("lid", F.array(*map(key, range(BANDS))).alias("keys"))
 
 
 def members_of(lines: DataFrame, named: DataFrame, k: int) -> DataFrame:
@@ -84,25 +85,54 @@ def alike(one: str, two: str) -> Column:
     return F.size(F.array_intersect(one, two)) >= SHARE * F.greatest(F.size(one), F.size(two))
 
 
-def similar_lines(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
-    """Of the pairs (a, b) of line ids those whose shingle sets have a Jaccard similarity of at least `percent` in 100. Sketches are compared first."""
+def similar_lines(pairs: DataFrame, members: DataFrame, percent: int, k: int, sketched: bool = True) -> DataFrame:
+    """Of the pairs (a, b) of line ids those whose shingle sets have a Jaccard similarity of at least `percent` in 100. Sketches are compared first, if `sketched`."""
     side = lambda c: members.select(F.col("lid").alias(c), F.col("norm").alias("t" + c), F.col("sketch").alias("s" + c))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb") if sketched else F.lit(True))
     sets = near.select("a", "b", F.array_distinct(place_hashes(F.col("ta"), k)).alias("sa"), F.array_distinct(place_hashes(F.col("tb"), k)).alias("sb"))
     sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def crossing(buckets: DataFrame, comp: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines that share a bucket, are in different components and have sketches alike. A bucket's commonest component is only paired with the rest."""
+#: Words of 64 bits in an odd sketch.
+WORDS = 32
+
+
+def odd_sketches(lines: DataFrame, k: int) -> DataFrame:
+    """lid, n (how many distinct shingles a line has) and odd: WORDS times 64 bits, each telling whether an odd number of the shingles' hashes fall on it."""
+    points = [-(2**63) + j * (2**64 // WORDS) for j in range(WORDS)]
+    sets = lines.select("lid", F.array_distinct(place_hashes(F.col("norm"), k)).alias("h"))
+    sorted_ = sets.select("lid", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"))
+    starts = sorted_.select("lid", "n", "m", F.array(*[F.array_position("m", F.lit(x)).cast("int") for x in points], F.size("m") + 1).alias("at"))
+    part = lambda j: F.slice("m", F.get("at", j) + 1, F.get("at", j + 1) - F.get("at", j) - 1)
+    word = lambda j: F.aggregate(part(j), F.lit(0).cast("long"), lambda got, x: got.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return starts.select("lid", "n", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word).alias("odd"))
+
+
+def could_link(percent: int) -> Column:
+    """Whether two lines (nx, ox and ny, oy: n and odd) can have a Jaccard similarity of at least `percent` in 100. No link is lost.
+
+    Shingles in both lines cancel out, so that the bits in which odd sketches differ are no more than the shingles that only one line has.
+    """
+    differ = F.aggregate(F.zip_with("ox", "oy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda got, x: got + x)
+    return (F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")) & (differ * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny")))
+
+
+def crossing(buckets: DataFrame, comp: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines that share a bucket, are in different components and could be linked. A bucket's commonest component is only paired with the rest.
+
+    Lines are compared as they meet, so that a family of lines just under the threshold makes no rows that grow with its square.
+    """
     here = buckets.select("key", "lid").join(comp, "lid")
     parts = here.groupBy("key", "component").agg(F.count("*").alias("m"))
     mains = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mains = common.stored(mains, "mains")  # written, so that adaptive execution can split the join on a hot key
-    mixed = common.stored(here.join(mains, "key").join(members.select("lid", "sketch"), "lid").select("key", "lid", "component", "main", "sketch"), "mixed")
-    x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
-    y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main", F.col("sketch").alias("sy"))
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & alike("sx", "sy"))
+    places = common.stored(here.join(mains, "key").select("key", "lid", "component", "main"), "places")
+    sets = common.stored(odd_sketches(members.join(places.select("lid").distinct(), "lid", "left_semi"), k), "sets")
+    mixed = common.stored(places.join(sets, "lid").select("key", "lid", "component", "main", "n", "odd"), "mixed")
+    x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("odd").alias("ox"))
+    y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main", F.col("n").alias("ny"), F.col("odd").alias("oy"))
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & could_link(percent))
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -112,7 +142,7 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
     Buckets of equal band keys give a star of candidate edges around one member, then, where components differ, around another one
     in `rounds` rounds, and at last every pair that shares a bucket and is still in different components.
     """
-    signed = common.stored(signatures(lines, k), "signatures")
+    signed = common.stored(signatures(lines, k), "signatures", compression="zstd")
     bands = signed.select("lid", F.explode("keys").alias("key"))
     # a key that is there once is shared by nothing; one that equal lines alone have goes with the centres
     often = common.stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
@@ -135,8 +165,8 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
             more = here.join(common.stored(mixed, "mixed"), "key").where("component <> c.component").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct()
             more = more.join(edges, ["a", "b"], "left_anti")
         else:
-            more = crossing(buckets, comp, members)
-        new = common.stored(similar_lines(common.stored(more, "pairs"), members, percent, k), "links")
+            more = crossing(buckets, comp, members, k, percent)
+        new = common.stored(similar_lines(common.stored(more, "pairs"), members, percent, k, sketched=r < rounds), "links")
         if not new.isEmpty():
             comp = common.stored(components(new, nodes, comp.withColumnRenamed("lid", "doc_id")).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component").select("lid", F.col("component").alias("root"))

@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
-from brindle.llm import common, fingerprints, neighbours, suffix_dedup
+from brindle.llm import common, fingerprints, line_dedup, neighbours, suffix_dedup
 
 
 def test_neighbours_of_scaled_copies_go_by_id(spark):
@@ -59,3 +59,39 @@ def test_substrings_are_joined_without_broadcasts(spark, monkeypatch):
         assert done.count()
     assert not any("BroadcastHashJoin" in p for p in plans)
     assert sum("SortMergeJoin" in p for p in plans) >= 6
+
+
+def test_lines_just_under_the_threshold_make_few_pairs(spark, monkeypatch):
+    """A family of lines at Jaccard similarities of about 0.7: what meets in mixed buckets is told apart where it meets."""
+    r = np.random.default_rng(21)
+    word = lambda: "".join(chr(97 + c) for c in r.integers(0, 26, 6))
+    base = [word() for _ in range(60)]
+    lines = [" ".join(word() if i in edits else w for i, w in enumerate(base)) for edits in (set(r.choice(60, 5, replace=False).tolist()) for _ in range(150))]
+    made, stored = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what="step", **o: (out := stored(df, what, **o), made.append((what, out.count())) if what == "pairs" else None)[0])
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    kept = sum(x["n_removed"] == 0 for x in line_dedup.deduplicate(docs).collect())
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    close = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert kept > 100 and made[-1][1] <= 5 * close + 200, (kept, close, made)
+
+
+def test_odd_sketches_lose_no_links(spark):
+    """Of lines of all lengths with more and more edits every pair that is linked could be, and few are that are far from it."""
+    r = np.random.default_rng(22)
+    text = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    pairs = []
+    for n in (20, 60, 300, 1200, 6000):
+        for share in (0.0, 0.01, 0.02, 0.022, 0.025, 0.03, 0.05, 0.1):
+            one = text(n)
+            at = set(r.choice(n, int(share * n), replace=False).tolist())
+            pairs.append((one, "".join("#" if i in at else c for i, c in enumerate(one))))
+    pairs += [("ab" * 400, "ab" * 390 + "cd" * 10), ("z" * 50, "z" * 5000), ("abc", "abc"), (text(100) * 30, text(100))]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, x string, y string")
+    side = lambda c: line_dedup.odd_sketches(rows.select(F.col("i").alias("lid"), F.col(c).alias("norm")), 5).select(F.col("lid").alias("i"), F.col("n").alias("n" + c), F.col("odd").alias("o" + c))
+    got = {x["i"]: x["could"] for x in side("x").join(side("y"), "i").select("i", line_dedup.could_link(80).alias("could")).collect()}
+    sets = lambda t: {t[i : i + 5] for i in range(max(1, len(t) - 4))}
+    likeness = [len(sets(x) & sets(y)) / len(sets(x) | sets(y)) for x, y in pairs]
+    assert sum(j >= 0.8 for j in likeness) > 15
+    assert all(got[i] for i, j in enumerate(likeness) if j >= 0.8)
+    assert not any(got[i] for i, j in enumerate(likeness) if j < 0.6 and len(pairs[i][0]) < 2000)
