@@ -38,35 +38,54 @@ class KdTree:
         self.low = np.stack([points[p].min(axis=0) for p in parts])
         self.high = np.stack([points[p].max(axis=0) for p in parts])
 
-    def nearing(self, q: np.ndarray, at_once: int = 4):
-        """(ids, bound): points in order of projected distance from q, and the squared distance below which all have come."""
+    def nearing(self, q: np.ndarray, at_once: int = 8):
+        """(ids, bound): points in steps of growing projected distance from q, and the squared distance below which all have come.
+
+        Leaves are opened `at_once`, then twice as many each time, so that a query takes few steps and opens at most about twice what it needs.
+        """
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         far = (gap * gap).sum(axis=1)
         order = np.argsort(far, kind="stable")
         ids, dist = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for k in range(0, len(order), at_once):
+        k = 0
+        while k < len(order):
             new = np.concatenate([self.parts[i] for i in order[k : k + at_once]])
             off = self.points[new] - q
             ids, dist = np.concatenate((ids, new)), np.concatenate((dist, (off * off).sum(axis=1)))
-            bound = far[order[k + at_once]] if k + at_once < len(order) else inf
+            k, at_once = k + at_once, 2 * at_once
+            bound = far[order[k]] if k < len(order) else inf
             due = dist <= bound
-            out = ids[due][np.argsort(dist[due], kind="stable")]
+            out = ids[due]
             ids, dist = ids[~due], dist[~due]
             yield out, bound
 
 
-def search(vectors: np.ndarray, names: np.ndarray, tree: KdTree, query: np.ndarray, q: np.ndarray, k: int, sure: float, known: float = inf) -> tuple[np.ndarray, np.ndarray]:
+def lengths(vectors: np.ndarray) -> np.ndarray:
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
+#: Products of matrices are further than this from no cosine; see `search`.
+SLACK = 1e-9
+
+
+def search(vectors: np.ndarray, norms: np.ndarray, names: np.ndarray, tree: KdTree, query: np.ndarray, q: np.ndarray, k: int, sure: float, known: float = inf) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows found and their cosines, ties to the smaller name. A cosine is summed in the same order wherever its row lies. Projected neighbours are verified until a row as near as the k-th best would, with a chance of `sure`, have come by now.
 
     The squared projected distance over the squared true distance of unit vectors follows a chi-square distribution.
-    known: a squared distance that k others are already within.
+    norms: the rows' lengths. known: a squared distance that k others are already within. Of the rows that have come only those are summed that a product of matrices puts among the best, or nearly.
     """
     m, norm = len(q), np.sqrt((query * query).sum())
+    guess = (vectors @ (query / norm)) / norms
     ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
     for new, bound in tree.nearing(q):
+        if len(ids) == k:
+            new = new[~(guess[new] < scores.min() - SLACK)]
+        if len(new) > k:
+            g = guess[new]
+            new = new[~(g < np.partition(g, len(g) - k)[len(g) - k] - SLACK)]
         if len(new):
             rows = vectors[new]
-            got = (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * norm)
+            got = (rows * query).sum(axis=1) / (norms[new] * norm)
             ids, scores = np.concatenate((ids, new)), np.concatenate((scores, got))
             if len(ids) > k:
                 best = np.lexsort((names[ids], -scores))[:k]
@@ -143,10 +162,10 @@ def _of_one_size(rows: DataFrame, dim: int, total: int, k: int, dims: int, sure:
         if len(rows_) and len(asked):
             v = np.array(rows_["v"].tolist(), dtype=float)
             tree = KdTree(np.array(rows_["p"].tolist(), dtype=float))
-            ids = rows_["ids"].to_list()
+            norms, ids = lengths(v), rows_["ids"].to_list()
             names = np.array([i[0] for i in ids], dtype=np.int64)
             for query, vec, point, known in zip(asked["query"], asked["vec"], asked["point"], asked["known"], strict=True):
-                at, score = search(v, names, tree, np.array(vec, dtype=float), np.array(point, dtype=float), k + 1, sure, known)
+                at, score = search(v, norms, names, tree, np.array(vec, dtype=float), np.array(point, dtype=float), k + 1, sure, known)
                 out += [(query, list(ids[i]), float(s)) for i, s in zip(at, score, strict=True)]
         return pd.DataFrame(out, columns=["query", "ids", "score"])
 

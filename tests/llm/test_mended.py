@@ -95,3 +95,14 @@ def test_odd_sketches_lose_no_links(spark):
     assert sum(j >= 0.8 for j in likeness) > 15
     assert all(got[i] for i, j in enumerate(likeness) if j >= 0.8)
     assert not any(got[i] for i, j in enumerate(likeness) if j < 0.6 and len(pairs[i][0]) < 2000)
+
+
+def test_a_query_takes_few_steps_and_meets_every_point():
+    rng = np.random.default_rng(5)
+    tree, q = neighbours.KdTree(rng.normal(size=(20_000, 8))), rng.normal(size=8)
+    far, steps, last = ((tree.points - q) ** 2).sum(axis=1), list(tree.nearing(q)), 0.0
+    assert len(steps) <= 8
+    assert sorted(np.concatenate([ids for ids, _ in steps]).tolist()) == list(range(20_000))
+    for ids, bound in steps:
+        assert (far[ids] >= last).all() and (far[ids] <= bound).all()
+        last = bound
