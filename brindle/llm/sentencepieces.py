@@ -7,6 +7,7 @@ which no piece crosses.
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from . import common
 
 SPACE = "▁"
+NEVER = float("-inf")
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
 
 
@@ -30,6 +32,7 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         plain = [i for i in range(len(self.pieces)) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
         self.rank = {self.pieces[i]: (sp.get_score(i), i) for i in plain}
+        self.score = {p: s for p, (s, _) in self.rank.items()}.get
         self.longest = max(map(len, self.rank))
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.rank):
             raise ValueError("a piece of this model crosses words")
@@ -39,21 +42,22 @@ class Model:
 
     def merged(self, unit: str) -> bytes:
         """A word's ids, packed."""
-        rank, parts = self.rank, list(unit)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                got = rank.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or got[0] > best):
-                    best, at = got[0], i
-            if best is None:
-                break
+        rank, score, parts = self.rank, self.score, list(unit)
+        # of every pair of neighbours the score of what it merges to; after a merge only its two neighbours' are looked up
+        pairs = [score(x + y, NEVER) for x, y in zip(parts, parts[1:], strict=False)]
+        while pairs and (best := max(pairs)) > NEVER:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = score(parts[at - 1] + parts[at], NEVER)
+            if at < len(pairs):
+                pairs[at] = score(parts[at] + parts[at + 1], NEVER)
         out = []
         for p in parts:
             got = rank.get(p)
             out += [got[1]] if got is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype=np.uint32).tobytes()
+        return array("I", out).tobytes()
 
     def encode(self, text: str, known: dict[str, bytes]) -> bytes:
         if not text:

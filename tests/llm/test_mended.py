@@ -5,7 +5,7 @@ import unicodedata
 import numpy as np
 from pyspark.sql import functions as F
 
-from brindle.llm import common, fingerprints, line_dedup, neighbours, suffix_dedup
+from brindle.llm import common, fingerprints, line_dedup, neighbours, sentencepieces, suffix_dedup
 
 
 def test_neighbours_of_scaled_copies_go_by_id(spark):
@@ -106,3 +106,30 @@ def test_a_query_takes_few_steps_and_meets_every_point():
     for ids, bound in steps:
         assert (far[ids] >= last).all() and (far[ids] <= bound).all()
         last = bound
+
+
+def test_merging_looks_up_each_place_few_times():
+    import public_tokenizers
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+    def plain(unit):
+        parts = list(unit)
+        while scores := {-i: m.rank[x + y][0] for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in m.rank}:
+            at = -max(scores, key=lambda i: (scores[i], i))
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return [i for p in parts for i in ([m.rank[p][1]] if p in m.rank else [m.bytes[b] for b in p.encode()])]
+
+    m = sentencepieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    r = np.random.default_rng(8)
+    units = ["▁", "▁▁▁", "▁x", "▁thethethe", "▁aaaaaaaaa\nb"] + ["▁" + "".join(r.choice(list("etaoinshr,\né5"), r.integers(1, 30))) for _ in range(300)]
+    for unit in units:
+        assert np.frombuffer(m.merged(unit), dtype=np.uint32).tolist() == plain(unit), unit
+    m.rank, m.score = Counted(m.rank), Counted({p: s for p, (s, _) in m.rank.items()}).get
+    m.merged("▁" + "theinandon" * 20)
+    assert 0 < Counted.n < 5 * 201
