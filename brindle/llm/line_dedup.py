@@ -26,10 +26,10 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
     return lines.where((F.length("norm") >= least_chars) & F.col("norm").rlike("\\S")).withColumn("lid", F.xxhash64("norm"))
 
 
-#: Bands of a signature, hashes in a band, the least hashes of a line that its signature is made of, and how many of them are kept to tell unlike lines apart.
-BANDS, ROWS, SAMPLE, SKETCH = 16, 5, 64, 64
-#: Sketches of lines at a Jaccard similarity of 0.8 share 0.89 of their hashes; under this share a pair is not compared. See `alike`.
-SHARE = 0.7
+#: Bands of a signature, hashes in a band, and the least hashes of a line that its signature is made of.
+BANDS, ROWS, SAMPLE = 16, 5, 64
+#: The size of sketches of least hashes, and the share of it that linked lines have in common: for callers; nothing here leaves pairs out by them, as odd sketches lose none.
+SKETCH, SHARE = 64, 0.7
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -71,42 +71,52 @@ def signatures(lines: DataFrame, k: int) -> DataFrame:
 
 
 def members_of(lines: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """lid, norm and sketch (of the least hashes, 32 bits each) of the lines that share a bucket; named has distinct lid."""
-    texts = lines.select("lid", "norm").join(named, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm"))
-    return texts.select("lid", "norm", F.transform(least_hashes(F.col("norm"), k, SKETCH), lambda x: F.shiftright(F.xxhash64(x), 32).cast("int")).alias("sketch"))
+    """lid, norm, n and odd of the lines that share a bucket; named has distinct lid."""
+    return odd_sketches(lines.select("lid", "norm").join(named, "lid", "left_semi").groupBy("lid").agg(F.any_value("norm").alias("norm")), k)
 
 
-def alike(one: str, two: str) -> Column:
-    """Whether sketches share at least SHARE of the longer one.
+def similar_lines(pairs: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame:
+    """Of the pairs (a, b) of line ids those whose shingle sets have a Jaccard similarity of at least `percent` in 100.
 
-    Sketches of lines with up to SKETCH shingles are whole sets, so that no link is lost; of longer lines at a Jaccard similarity of
-    exactly 0.8 none of 50,000 simulated pairs failed, where about 1 in 500 misses all bands; a test repeats that with 4,000.
+    Odd sketches are compared first, by which no link is lost, and texts travel for the pairs that are left only.
     """
-    return F.size(F.array_intersect(one, two)) >= SHARE * F.greatest(F.size(one), F.size(two))
-
-
-def similar_lines(pairs: DataFrame, members: DataFrame, percent: int, k: int, sketched: bool = True) -> DataFrame:
-    """Of the pairs (a, b) of line ids those whose shingle sets have a Jaccard similarity of at least `percent` in 100. Sketches are compared first, if `sketched`."""
-    side = lambda c: members.select(F.col("lid").alias(c), F.col("norm").alias("t" + c), F.col("sketch").alias("s" + c))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(alike("sa", "sb") if sketched else F.lit(True))
-    sets = near.select("a", "b", F.array_distinct(place_hashes(F.col("ta"), k)).alias("sa"), F.array_distinct(place_hashes(F.col("tb"), k)).alias("sb"))
-    sized = sets.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("total"))
+    side = lambda c, x: members.select(F.col("lid").alias(c), F.col("n").alias("n" + x), F.col("odd").alias("o" + x))
+    near = common.stored(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(could_link(percent)).select("a", "b", (F.col("nx") + F.col("ny")).alias("total")), "near")
+    named = near.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    texts = members.select("lid", "norm").join(named, "lid", "left_semi")
+    text = lambda c: texts.select(F.col("lid").alias(c), F.col("norm").alias("t" + c))
+    both = near.join(text("a"), "a").join(text("b"), "b")
+    sets = both.select("a", "b", "total", F.array_distinct(place_hashes(F.col("ta"), k)).alias("sa"), F.array_distinct(place_hashes(F.col("tb"), k)).alias("sb"))
+    sized = sets.select("a", "b", "total", F.size(F.array_intersect("sa", "sb")).alias("common"))
     return sized.where(F.col("common") * 100 >= percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-#: Words of 64 bits in an odd sketch.
+#: The most words of 64 bits in an odd sketch.
 WORDS = 32
 
 
 def odd_sketches(lines: DataFrame, k: int) -> DataFrame:
-    """lid, n (how many distinct shingles a line has) and odd: WORDS times 64 bits, each telling whether an odd number of the shingles' hashes fall on it."""
-    points = [-(2**63) + j * (2**64 // WORDS) for j in range(WORDS)]
-    sets = lines.select("lid", F.array_distinct(place_hashes(F.col("norm"), k)).alias("h"))
-    sorted_ = sets.select("lid", F.size("h").alias("n"), F.sort_array(F.concat("h", F.array(*map(F.lit, points)))).alias("m"))
-    starts = sorted_.select("lid", "n", "m", F.array(*[F.array_position("m", F.lit(x)).cast("int") for x in points], F.size("m") + 1).alias("at"))
-    part = lambda j: F.slice("m", F.get("at", j) + 1, F.get("at", j + 1) - F.get("at", j) - 1)
-    word = lambda j: F.aggregate(part(j), F.lit(0).cast("long"), lambda got, x: got.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return starts.select("lid", "n", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), word).alias("odd"))
+    """lines (lid, norm) with n, how many distinct shingles a line has, and odd: bits that each tell whether an odd number of the shingles' hashes fall on it.
+
+    There are at least twice as many bits as shingles, up to WORDS times 64, and a power of two.
+    """
+    points = F.array(*[F.lit(-(2**63) + j * (2**64 // WORDS)) for j in range(WORDS)])
+    step = lambda n: F.when(n > 512, 1).when(n > 256, 2).when(n > 128, 4).when(n > 64, 8).otherwise(16)
+    starts = lambda n: F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1), step(n)), lambda j: F.get(points, j))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda hashes: F.aggregate(hashes, F.lit(0).cast("long"), lambda got, x: got.bitwiseXOR(bit(x)))
+    places = lambda m, start: F.concat(F.transform(start, lambda x: F.array_position(m, x).cast("int")), F.array(F.size(m) + 1))
+    words = lambda m, at: F.transform(F.sequence(F.lit(0), F.size(at) - 2), lambda j: word(F.slice(m, F.get(at, j) + 1, F.get(at, j + 1) - F.get(at, j) - 1)))
+    sketch = lambda h, start: bound(F.sort_array(F.concat(h, start)), lambda m: bound(places(m, start), lambda at: words(m, at)))
+    both = lambda h: F.struct(F.size(h).alias("n"), bound(starts(F.size(h)), lambda start: sketch(h, start)).alias("odd"))
+    return lines.select("lid", "norm", bound(F.array_distinct(place_hashes(F.col("norm"), k)), both).alias("s")).select("lid", "norm", "s.n", "s.odd")
+
+
+def folded(odd: Column, words: Column) -> Column:
+    """An odd sketch in so many words; it has them, or a power of two times as many."""
+    share = (F.size(odd) / words).cast("int")
+    shorter = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.slice(odd, i * share + 1, share), F.lit(0).cast("long"), lambda got, x: got.bitwiseXOR(x)))
+    return F.when(F.size(odd) == words, odd).otherwise(shorter)
 
 
 def could_link(percent: int) -> Column:
@@ -114,11 +124,13 @@ def could_link(percent: int) -> Column:
 
     Shingles in both lines cancel out, so that the bits in which odd sketches differ are no more than the shingles that only one line has.
     """
-    differ = F.aggregate(F.zip_with("ox", "oy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda got, x: got + x)
+    words = F.least(F.size("ox"), F.size("oy"))
+    bits = F.zip_with(folded(F.col("ox"), words), folded(F.col("oy"), words), lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    differ = F.aggregate(bits, F.lit(0), lambda got, x: got + x)
     return (F.least("nx", "ny") * 100 >= percent * F.greatest("nx", "ny")) & (differ * (100 + percent) <= (100 - percent) * (F.col("nx") + F.col("ny")))
 
 
-def crossing(buckets: DataFrame, comp: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+def crossing(buckets: DataFrame, comp: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of lines that share a bucket, are in different components and could be linked. A bucket's commonest component is only paired with the rest.
 
     Lines are compared as they meet, so that a family of lines just under the threshold makes no rows that grow with its square.
@@ -128,8 +140,7 @@ def crossing(buckets: DataFrame, comp: DataFrame, members: DataFrame, k: int, pe
     mains = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
     mains = common.stored(mains, "mains")  # written, so that adaptive execution can split the join on a hot key
     places = common.stored(here.join(mains, "key").select("key", "lid", "component", "main"), "places")
-    sets = common.stored(odd_sketches(members.join(places.select("lid").distinct(), "lid", "left_semi"), k), "sets")
-    mixed = common.stored(places.join(sets, "lid").select("key", "lid", "component", "main", "n", "odd"), "mixed")
+    mixed = common.stored(places.join(members.select("lid", "n", "odd"), "lid").select("key", "lid", "component", "main", "n", "odd"), "mixed")
     x = mixed.where("component <> main").select("key", F.col("lid").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("odd").alias("ox"))
     y = mixed.select("key", F.col("lid").alias("y"), F.col("component").alias("cy"), "main", F.col("n").alias("ny"), F.col("odd").alias("oy"))
     met = x.join(y, (x["key"] == y["key"]) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & could_link(percent))
@@ -142,16 +153,13 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
     Buckets of equal band keys give a star of candidate edges around one member, then, where components differ, around another one
     in `rounds` rounds, and at last every pair that shares a bucket and is still in different components.
     """
-    signed = common.stored(signatures(lines, k), "signatures", compression="zstd")
-    bands = signed.select("lid", F.explode("keys").alias("key"))
-    # a key that is there once is shared by nothing; one that equal lines alone have goes with the centres
-    often = common.stored(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
-    hits = common.stored(bands.join(often, "key").select("key", "lid").distinct(), "hits")
+    texts = lines.groupBy("lid").agg(F.any_value("norm").alias("norm"))  # equal lines are signed once
+    signed = common.stored(signatures(texts, k), "signatures", compression="zstd")
+    # dealt by key once, for the ends of each bucket and for its lines; a key that is there once is shared by nothing
+    bands = signed.select("lid", F.explode("keys").alias("key")).repartition("key")
+    ends = bands.groupBy("key").agg(F.min("lid").alias("centre"), F.max("lid").alias("last")).where("centre <> last").select("key", "centre")
+    buckets = common.stored(bands.join(ends, "key").select("key", "lid", "centre"), "buckets")
     common.release(signed)
-    # written, so that adaptive execution can split the join on a hot key
-    centres = common.stored(hits.groupBy("key").agg(F.min("lid").alias("centre"), F.max("lid").alias("last")).where("centre <> last").select("key", "centre"), "centres")
-    buckets = common.stored(hits.join(centres, "key").select("key", "lid", "centre"), "buckets")
-    common.release(hits)
     named = common.stored(buckets.select("lid").distinct(), "nodes")
     members = common.stored(members_of(lines, named, k), "members")
     nodes = named.select(F.col("lid").alias("doc_id"))
@@ -165,8 +173,8 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
             more = here.join(common.stored(mixed, "mixed"), "key").where("component <> c.component").select(F.least("lid", "c.lid").alias("a"), F.greatest("lid", "c.lid").alias("b")).distinct()
             more = more.join(edges, ["a", "b"], "left_anti")
         else:
-            more = crossing(buckets, comp, members, k, percent)
-        new = common.stored(similar_lines(common.stored(more, "pairs"), members, percent, k, sketched=r < rounds), "links")
+            more = crossing(buckets, comp, members, percent)
+        new = common.stored(similar_lines(common.stored(more, "pairs"), members, percent, k), "links")
         if not new.isEmpty():
             comp = common.stored(components(new, nodes, comp.withColumnRenamed("lid", "doc_id")).withColumnRenamed("doc_id", "lid"), "components")
     linked = comp.where("lid <> component").select("lid", F.col("component").alias("root"))
@@ -176,7 +184,7 @@ def linked_lines(lines: DataFrame, k: int, percent: int, rounds: int) -> DataFra
 def removed_lines(docs: DataFrame, least_chars: int = 20, k: int = 5, percent: int = 80, rounds: int = 2, short: bool = False) -> DataFrame:
     """did, th and gone (the positions of lines to remove) of each document that loses any."""
     roots = common.stored(linked_lines(lines_of(docs, least_chars), k, percent, rounds), "roots")
-    places = lines_of(docs, 1 if short else least_chars).select("did", "th", "pos", "lid")
+    places = common.stored(lines_of(docs, 1 if short else least_chars).select("did", "th", "pos", "lid"), "lines", compression="zstd")  # read twice
     firsts = places.groupBy("lid").agg(F.min(F.struct("did", "th", "pos")).alias("at"), F.count("*").alias("n")).join(roots, "lid", "left").where("n > 1 OR root IS NOT NULL")
     firsts = common.stored(firsts.select("lid", "at", F.coalesce("root", "lid").alias("root")), "firsts")
     keep = firsts.groupBy("root").agg(F.min("at").alias("kept"))

@@ -97,6 +97,36 @@ def test_odd_sketches_lose_no_links(spark):
     assert not any(got[i] for i, j in enumerate(likeness) if j < 0.6 and len(pairs[i][0]) < 2000)
 
 
+def test_equal_lines_are_signed_once_and_texts_travel_for_near_pairs_only(spark, monkeypatch):
+    """Of 40 different lines, each ten times, 40 signatures; of lines at a Jaccard of about 0.6, which share buckets, no pair is compared by its texts."""
+    r = np.random.default_rng(23)
+    text = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    base = text(400)
+    far = ["".join("#" if i in at else c for i, c in enumerate(base)) for at in (set(r.choice(400, 12, replace=False).tolist()) for _ in range(20))]
+    lines = [text(int(n)) for n in r.integers(20, 900, 20)] + far
+    rows, stored = {}, common.stored
+    monkeypatch.setattr(common, "stored", lambda df, what="step", **o: (out := stored(df, what, **o), rows.setdefault(what, []).append(out.count()))[0])
+    docs = spark.createDataFrame(list(enumerate(lines * 10)), "doc_id long, text string")
+    assert sum(x["n_removed"] == 0 for x in line_dedup.deduplicate(docs).collect()) == 40
+    assert rows["signatures"] == [40]
+    assert rows["edges"][0] > 0 and sum(rows["near"]) == 0, rows
+
+
+def test_odd_sketches_are_as_long_as_lines_need(spark):
+    """Twice as many bits as shingles at least, up to 2,048; sketches of two lengths are compared as if the longer one had been made shorter."""
+    r = np.random.default_rng(24)
+    text = lambda n: "".join(chr(97 + c) for c in r.integers(0, 26, n))
+    pairs = [(one := text(n), one + text(n // 6)) for n in (20, 60, 64, 120, 130, 230, 250, 450, 500, 516, 600)]
+    pairs += [(text(n), text(n)) for n in (60, 300, 900)] + [(text(500), text(530))]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, x string, y string")
+    side = lambda c: line_dedup.odd_sketches(rows.select(F.col("i").alias("lid"), F.col(c).alias("norm")), 5).select(F.col("lid").alias("i"), F.col("n").alias("n" + c), F.col("odd").alias("o" + c))
+    got = {g.i: g for g in side("x").join(side("y"), "i").select("*", line_dedup.could_link(80).alias("could")).collect()}
+    for i, g in got.items():
+        assert len(g.ox) == min(32, max(2, 2 ** int(np.ceil(np.log2(g.nx / 32))))) and len({x[j : j + 5] for x in [pairs[i][0]] for j in range(len(x) - 4)}) == g.nx
+        assert g.could == (i < 11), i
+    assert sum(len(g.ox) != len(g.oy) for g in got.values()) >= 4
+
+
 def test_a_query_takes_few_steps_and_meets_every_point():
     rng = np.random.default_rng(5)
     tree, q = neighbours.KdTree(rng.normal(size=(20_000, 8))), rng.normal(size=8)
