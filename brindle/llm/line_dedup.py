@@ -28,7 +28,7 @@ def lines_of(docs: DataFrame, least_chars: int) -> DataFrame:
 
 #: Bands of a signature, hashes in a band, and the least hashes of a line that its signature is made of.
 BANDS, ROWS, SAMPLE = 16, 5, 64
-#: The size of sketches of least hashes, and the share of it that linked lines have in common: for callers; nothing here leaves pairs out by them, as odd sketches lose none.
+#: The size of sketches of least hashes and the share of it that linked lines have in common. Only a test still uses them; odd sketches took their place.
 SKETCH, SHARE = 64, 0.7
 
 
