@@ -159,6 +159,32 @@ def test_sketched_distances_are_near_the_exact_ones(spark):
     assert all(steps[t] == pytest.approx(len(nodes) + sum(d <= t for d in dist), rel=0.06) for t in steps)
 
 
+def test_sketches_of_separate_and_split_parts_stay_on_their_tasks(spark, monkeypatch):
+    """No written table carries sketches along edges; components that are dealt by registers, over files and in lots, give the same distances as whole ones."""
+    wide = [(f"a{i}", f"b{i * j % 60}") for i in range(90) for j in range(1, 12)]
+    edges = wide + [(b, a) for a, b in wide] + [(f"p{i}", f"p{i + 1}") for i in range(30)] + [("alone", "alone"), (None, "open")]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    kinds, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (kinds.extend(k for _, k in df.dtypes), write(df))[1])
+    whole = {x["node"]: x["closeness"] for x in paths.closeness(df).collect()}
+    steps = [(x["distance"], x["pairs"]) for x in paths.neighbourhood(df).collect()]
+    assert "binary" not in kinds
+    plain = [e for e in edges if e[0] is not None and e[0] != e[1]]
+    nodes = sorted({x for e in edges for x in e if x is not None})
+    far = {s: bfs(plain, s) for s in nodes}
+    assert steps == [(t, float(sum(d <= t for x in far.values() for d in x.values()))) for t in range(31)]  # so few nodes are told one by one
+    assert whole.keys() == set(nodes) and whole["alone"] == whole["open"] == 0
+    monkeypatch.setattr(paths, "FEW", 20)
+    rough = {x["node"]: x["closeness"] for x in paths.closeness(df).collect()}
+    assert all(rough[v] == pytest.approx(whole[v], rel=0.06) for v in nodes)
+    for name, value in (("EDGES", 500), ("LOT", 300), ("STATE", 1 << 16), ("OWN", 50)):
+        monkeypatch.setattr(paths, name, value)
+    split = {x["node"]: x["closeness"] for x in paths.closeness(df).collect()}
+    assert all(split[v] == pytest.approx(whole[v], rel=0.06) for v in nodes)
+    none = df.limit(0)
+    assert paths.closeness(none).count() == 0 and [x["pairs"] for x in paths.neighbourhood(none).collect()] == [0.0]
+
+
 def test_loops_keep_one_round_on_disk(spark, monkeypatch):
     df = spark.createDataFrame([(i, i + 1) for i in range(4)] + [(9, 0)], "src long, dst long")
     left = lambda f: (len(graph._written), f(), len(graph._written))
