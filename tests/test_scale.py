@@ -57,6 +57,38 @@ def test_nearest_holds_the_copies_of_one_lot(spark, monkeypatch):
     assert nearest.lots([5.0, 0.0, 2.0], [3, 4, 1], 10.0) == [[(0, 0, 2)], [(0, 2, 3), (2, 0, 1)]]
 
 
+@pytest.mark.parametrize("case", ["far from zero", "ties", "huge"])
+def test_products_leave_all_near_pairs(case):
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(40, 6)), r.normal(size=(300, 6))
+    if case == "far from zero":
+        x, y = x * 1e-6 + 1e4, y * 1e-6 + 1e4
+    elif case == "ties":
+        x, y = np.round(x), np.round(y)
+    else:
+        x, y = x * 1e200, y * 1e200
+    with np.errstate(over="ignore"):
+        d = nearest._between(x, y)
+        got = nearest.closest(x, y, 5)
+    want = {(i, j): d[i, j] for i in range(40) for j in range(300) if d[i, j] <= np.sort(d[i])[4]}
+    assert {(int(i), int(j)): v for i, j, v in zip(*got, strict=True)} == want
+
+
+def test_cells_that_all_meet_ask_together(spark, monkeypatch):
+    """Each of 8 cells had all rows sent once; blocks of 200 rows of several cells have them sent less often."""
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(500)]
+    monkeypatch.setattr(nearest, "BLOCK", 200)
+    monkeypatch.setattr(nearest, "LOT_ROWS", 10)
+    sizes, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := write(df), sizes.append(out.count() if "slice" in df.columns else 0))[0])
+    got = nearest.nearest(spark.createDataFrame(rows, "i long, v array<double>"), "i", "v", 5, 8)[0].collect()
+    assert sum(sizes) < 6 * 500
+    assert {(x["i"], x["n"]) for x in got} == {(i, n) for i, best in nearest_by_hand(rows, 5).items() for _, n in best}
+    between = np.abs(np.arange(6)[:, None] - np.arange(6))
+    assert nearest.asking(between, np.array([2, 3, 1, 9, 1, 1]), 5).tolist() == [0, 0, 1, 2, 3, 3]
+
+
 def test_gradients_equal_differences():
     r = np.random.default_rng(0)
     sizes, linear, x = [3, 4, 2, 4, 3], {1, 3}, r.normal(size=(7, 3))
